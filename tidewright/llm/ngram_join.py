@@ -35,6 +35,7 @@ WIDTH, PERCENT = 5, 75
 SKETCH_BITS, SLOT_BITS = 20, 16
 BLOCK_DOCS = 512
 ENTRIES_PER_BLOCK = 1_000_000
+GROUP_ROWS = 2_000
 COLUMNS = 4096
 SPARSE_COLUMN = 8
 
@@ -190,18 +191,24 @@ def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _product(width: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
+    def one(ids: np.ndarray, blobs: list) -> tuple[np.ndarray, np.ndarray]:
         unpack = zstandard.ZstdDecompressor()
-        ids = table.column("doc_id").to_numpy()
-        texts = pa.array([unpack.decompress(x.as_buffer()) for x in table.column("packed")], pa.large_binary()).cast(pa.large_string())
+        texts = pa.array([unpack.decompress(x.as_buffer()) for x in blobs], pa.large_binary()).cast(pa.large_string())
         sets: list[np.ndarray] = [np.empty(0, np.uint64)] * len(ids)
         for i, s in shingle_sets(texts, width):
             sets[i] = s
         n = np.array([len(s) for s in sets], dtype=np.int64)
         common = overlaps(sets)
         linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (common > 0)
-        a, b = forest(linked, ids)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return forest(linked, ids)
+
+    def run(table: pa.Table) -> pa.Table:
+        hub, ids = table.column("hub").to_numpy(), table.column("doc_id").to_numpy()
+        blobs = list(table.column("packed"))
+        order = np.argsort(hub, kind="stable")
+        at = np.flatnonzero(np.diff(hub[order], prepend=hub[order[0]] - 1))
+        found = [one(ids[part], [blobs[i] for i in part]) for part in np.split(order, at[1:])]
+        return pa.table({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
 
     return run
 
@@ -230,11 +237,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     member = materialize(entries.groupBy("block").applyInArrow(_groups(percent), "hub long, doc long").distinct(), "groups")
     parts = member.groupBy("hub").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
     mine = member.join(parts, "hub").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    tasks = mine.select("doc", "hub", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tasks = tasks.groupBy("doc").agg(F.collect_list(F.struct("hub", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))).alias("tasks"))
-    packed = rows.join(tasks, rows["doc_id"] == tasks["doc"]).select("doc_id", "text", "tasks").mapInArrow(_pack, "doc_id long, tasks array<struct<hub:long,p:int,q:int>>, packed binary")
-    dealt = packed.select("doc_id", F.explode("tasks").alias("t"), "packed").select("doc_id", "t.hub", "t.p", "t.q", "packed")
-    edges = dealt.groupBy("hub", "p", "q").applyInArrow(_product(width, percent), "a long, b long")
+    single, small = F.col("parts") == 1, max(shuffle_partitions(spark), member.count() // GROUP_ROWS)
+    tasks = mine.select("doc", "hub", "mine", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tasks = tasks.select(
+        "doc",
+        F.struct(
+            "hub",
+            F.when(single, F.pmod(F.xxhash64("hub"), F.lit(small))).otherwise(F.col("hub")).alias("task"),
+            F.when(single, -1).otherwise(F.least("mine", "other")).alias("p"),
+            F.when(single, -1).otherwise(F.greatest("mine", "other")).alias("q"),
+        ).alias("t"),
+    )
+    tasks = tasks.groupBy("doc").agg(F.collect_list("t").alias("tasks"))
+    packed = rows.join(tasks, rows["doc_id"] == tasks["doc"]).select("doc_id", "text", "tasks").mapInArrow(_pack, "doc_id long, tasks array<struct<hub:long,task:long,p:int,q:int>>, packed binary")
+    dealt = packed.select("doc_id", F.explode("tasks").alias("t"), "packed").select("doc_id", "t.hub", "t.task", "t.p", "t.q", "packed")
+    edges = dealt.groupBy("task", "p", "q").applyInArrow(_product(width, percent), "a long, b long")
     known = profile.filter("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     found = components(edges)
