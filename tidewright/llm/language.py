@@ -26,8 +26,9 @@ from .tokens import doc_chunks, text_buffers
 
 BUCKETS, DIM = 1 << 15, 16
 TRAIN_ROWS = 4000
-EPOCHS, RATE = 6, 0.5
+EPOCHS, RATE = 8, 1.0
 TARGET_ACCEPT = 0.999
+REJECT_BELOW = 0.4
 _TABLE = np.full(256, 32, dtype=np.uint8)
 _TABLE[97:123] = np.arange(97, 123)
 _TABLE[65:91] = np.arange(97, 123)
@@ -120,7 +121,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed:
     best = min((2.0**k for k in np.arange(-4, 4.1, 0.5)), key=lambda t: -np.log(_softmax(raw / t)[np.arange(len(gold)), gold] + 1e-12).mean())
     top = _softmax(raw / best).max(axis=1)
     right = top[raw.argmax(axis=1) == gold]
-    threshold = min(float(np.quantile(right, 1 - TARGET_ACCEPT)), 0.5) if len(right) else 0.0
+    threshold = min(float(np.quantile(right, 1 - TARGET_ACCEPT)), REJECT_BELOW) if len(right) else 0.0
     return {"weights": weights.astype(np.float32), "bias": bias, "temperature": float(best), "threshold": threshold}
 
 
