@@ -90,8 +90,8 @@ def fold_ordered(rows: list[dict], keys: list[str], data: list[str]) -> list[dic
                 raise AmbiguousSequence(f"update of a deleted key {source}")
             life = live.pop(source, None) or begin(source, source, r["seq"])
             life["cells"] |= {c: r[c] for c in data if r[f"p_{c}"]}
-            if key in live:
-                raise AmbiguousSequence(f"move onto a live key {key}")
+            if key in live or (key != source and any(x["origin"] == key and x is not life for x in lives)):
+                raise AmbiguousSequence(f"move onto a key that another row has or had: {key}")
             life["now"] = key
             live[key] = life
         else:
@@ -127,7 +127,13 @@ def fold(log: DataFrame, keys: list[str], data: list[str]) -> DataFrame:
     shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in stable.schema.fields])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: None if v is None or v is pd.NaT or v != v else v for k, v in r.items()} for r in part.astype(object).to_dict("records")]
-        return pd.DataFrame(fold_ordered(rows, keys, data), columns=columns).astype(object)
-
-    return stable.unionByName(marked.filter("component is not null").drop("_key").groupBy("component").applyInPandas(run, shape))
+        groups: dict[str, list[dict]] = {}
+        for r in part.astype(object).to_dict("records"):
+            groups.setdefault(r["component"], []).append({k: None if v is None or v is pd.NaT or v != v else v for k, v in r.items()})
+        out = [row for rows in groups.values() for row in fold_ordered(rows, keys, data)]
+        return pd.DataFrame(out, columns=columns).astype(object)
+
+    # sets of keys are folded many to a task; a set itself is bounded by its batch
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = marked.filter("component is not null").drop("_key").withColumn("_task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    return stable.unionByName(linked.groupBy("_task").applyInPandas(run, shape))
