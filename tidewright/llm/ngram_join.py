@@ -6,7 +6,7 @@
    ``n - ceil(share * n) + 1`` of each set in any fixed order.  The order is by a fixed-size sketch
    of shingle frequency, rare first, so common lines and passages stay out of these prefixes.
 3. Prefix entries are dealt to hash blocks.  A block turns each posting list into segments between
-   which sizes differ too much, and names each segment after its smallest document.
+   which sizes differ too much, and names each segment after its smallest document (or that one's own smallest).
 4. Each named group is a product of its document-by-shingle incidence matrix with its transpose.
    Groups above ``block_docs`` are dealt out as pairs of document blocks.  Overlaps are accumulated over blocks
    of columns; pairs below the size-derived bound go, and a spanning forest of the rest is returned.
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -32,10 +32,12 @@ from .store import materialize, shuffle_partitions
 from .tokens import mix, shingles, words
 
 WIDTH, PERCENT = 5, 75
-SKETCH_BITS, SLOT_BITS = 20, 16
+SKETCH_BITS, SLOT_BITS = 22, 18
 BLOCK_DOCS = 512
 ENTRIES_PER_BLOCK = 1_000_000
 GROUP_ROWS = 2_000
+MEMBER_BITS = 26
+MEMBER_SQL = f"pmod(xxhash64(doc), {1 << MEMBER_BITS}L) + 1"
 COLUMNS = 4096
 SPARSE_COLUMN = 8
 
@@ -62,9 +64,10 @@ def _profile(width: int):
                 b[i] = np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)
                 np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "s1", "s2", "slot", "counts"])
+        squeeze = zstandard.ZstdCompressor(level=1)
         parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << SLOT_BITS)) if p.any()]
         m = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 1 + [pa.nulls(m, pa.int64())] * 3 + [pa.array([k for k, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], ["doc_id", "n", "s1", "s2", "slot", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 1 + [pa.nulls(m, pa.int64())] * 3 + [pa.array([k for k, _ in parts], pa.int32()), pa.array([squeeze.compress(p.tobytes()) for _, p in parts], pa.binary())], ["doc_id", "n", "s1", "s2", "slot", "counts"])
 
     return run
 
@@ -72,7 +75,7 @@ def _profile(width: int):
 def _add_slots(table: pa.Table) -> pa.Table:
     total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
     for x in table.column("counts"):
-        total += np.frombuffer(x.as_buffer(), dtype=np.int32)
+        total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), dtype=np.int32)
     total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
     return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
@@ -112,7 +115,9 @@ def _prefixes(width: int, percent: int, sketch, blocks: int):
     return run
 
 
-def _groups(percent: int):
+def _groups(percent: int, slices: int):
+    """Memberships (hub, document) of one hash block, packed by slices of documents."""
+
     def run(table: pa.Table) -> pa.Table:
         col = {c: [x.as_buffer() for x in table.column(c)] for c in ("ids", "sizes", "marks", "hashes", "local")}
         cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in col[c]])
@@ -142,11 +147,24 @@ def _groups(percent: int):
             many = np.repeat(length, length) > 1
             pair = np.unique(np.stack([hub[many], ids[own][many]], axis=1), axis=0)
             out = (pair[:, 0], pair[:, 1])
-        return pa.table({"hub": pa.array(out[0]), "doc": pa.array(out[1])})
+        part = (mix(out[1].view(np.uint64)) % np.uint64(slices)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        at = np.flatnonzero(np.diff(part[order], prepend=-1))
+        rows = [(int(part[o[0]]), out[0][o].tobytes(), out[1][o].tobytes()) for o in np.split(order, at[1:])] if len(order) else []
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, [pa.int32(), pa.binary(), pa.binary()])], names=["slice", "hubs", "docs"])
 
     return run
 
 
+def _memberships(table: pa.Table) -> pa.Table:
+    """One row a document with the hubs of all blocks."""
+    pair = np.stack([np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column(c)]) for c in ("docs", "hubs")], axis=1)
+    pair = np.unique(pair, axis=0)
+    at = np.flatnonzero(np.concatenate([[True], pair[1:, 0] != pair[:-1, 0]]))
+    hubs = pa.ListArray.from_arrays(pa.array(np.append(at, len(pair)), pa.int32()), pa.array(pair[:, 1]))
+    return pa.table({"doc": pair[at, 0], "hubs": hubs})
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all sets of a block: incidence times its transpose, by column blocks."""
     m = len(sets)
@@ -213,11 +231,32 @@ def _product(width: int, percent: int):
     return run
 
 
-def _pack(batches):
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [squeeze.compress(x.as_buffer()) if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tasks"), pa.array(packed, pa.binary())], ["doc_id", "tasks", "packed"])
+def _pack(members):
+    """Compressed texts of the rows that the member filter lets through."""
+
+    def run(batches):
+        bits, squeeze = members.value, zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            packed = [squeeze.compress(x.as_buffer()) if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return run
+
+
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << MEMBER_BITS))
+
+
+def _member_bits(docs: DataFrame) -> np.ndarray:
+    """A bit for each hash of ``doc``: fixed in size, it only saves shuffling; the join decides."""
+    rows = docs.groupBy(F.expr(f"bitmap_bucket_number({MEMBER_SQL})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({MEMBER_SQL}))").alias("bits"))
+    out = np.zeros(1 << MEMBER_BITS - 3, dtype=np.uint8)
+    for r in rows.collect():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -230,11 +269,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     table = np.zeros((1 << SKETCH_BITS - SLOT_BITS, 1 << SLOT_BITS), dtype=np.int32)
     for r in slots:
         table[r["slot"]] = np.frombuffer(r["counts"], dtype=np.int32)
-    sketch = spark.sparkContext.broadcast(table.tobytes())  # 4 MB at any input size
+    sketch = spark.sparkContext.broadcast(table.tobytes())  # 16 MB at any input size
     total = profile.agg(F.sum("n")).first()[0] or 0
     blocks = max(shuffle_partitions(spark), total * (100 - percent) // 100 // ENTRIES_PER_BLOCK)
     entries = rows.mapInArrow(_prefixes(width, percent, sketch, blocks), "block int, ids binary, sizes binary, marks binary, hashes binary, local binary")
-    member = materialize(entries.groupBy("block").applyInArrow(_groups(percent), "hub long, doc long").distinct(), "groups")
+    packed = entries.groupBy("block").applyInArrow(_groups(percent, blocks), "slice int, hubs binary, docs binary")
+    per_doc = materialize(packed.groupBy("slice").applyInArrow(_memberships, "doc long, hubs array<long>"), "hubs")
+    # A hub that is itself in an older hub's group hands its whole group over to the oldest of those.
+    heir = per_doc.filter(F.array_contains("hubs", F.col("doc"))).select(F.col("doc").alias("old"), F.array_min("hubs").alias("hub"))
+    member = per_doc.select("doc", F.explode("hubs").alias("old")).join(heir, "old").select("hub", "doc").distinct()
+    member = materialize(member, "groups")
     parts = member.groupBy("hub").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
     mine = member.join(parts, "hub").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     single, small = F.col("parts") == 1, max(shuffle_partitions(spark), member.count() // GROUP_ROWS)
@@ -249,8 +293,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         ).alias("t"),
     )
     tasks = tasks.groupBy("doc").agg(F.collect_list("t").alias("tasks"))
-    packed = rows.join(tasks, rows["doc_id"] == tasks["doc"]).select("doc_id", "text", "tasks").mapInArrow(_pack, "doc_id long, tasks array<struct<hub:long,task:long,p:int,q:int>>, packed binary")
-    dealt = packed.select("doc_id", F.explode("tasks").alias("t"), "packed").select("doc_id", "t.hub", "t.task", "t.p", "t.q", "packed")
+    tasks = materialize(tasks, "tasks")
+    members = spark.sparkContext.broadcast(_member_bits(tasks.select("doc")))  # 8 MB at any input size
+    packed = rows.select("doc_id", "text", _place("doc_id").alias("place")).mapInArrow(_pack(members), "doc_id long, packed binary")
+    dealt = packed.join(tasks, packed["doc_id"] == tasks["doc"]).select("doc_id", F.explode("tasks").alias("t"), "packed").select("doc_id", "t.hub", "t.task", "t.p", "t.q", "packed")
     edges = dealt.groupBy("task", "p", "q").applyInArrow(_product(width, percent), "a long, b long")
     known = profile.filter("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
