@@ -252,7 +252,7 @@ def score(docs: DataFrame, fold: int = 1, folds: int = 5, mu: float = MU, block_
     shape = "chunk long, place long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     parts = None
     for i, own in enumerate(passes):
-        table: dict = {r["block"]: (r["bits"], bytes(r["segment"])) for r in segments.filter(F.col("block").isin(own)).collect()}
+        table: dict = {r["block"]: (r["bits"], bytes(r["segment"])) for r in segments.filter(F.col("block").isin(own)).toLocalIterator()}
         table["all"] = {b for b, _ in sizes}
         one = ready.mapInArrow(_score(spark.sparkContext.broadcast(table), blocks, total, types, mu, i == 0), shape)
         if len(passes) > 1:
