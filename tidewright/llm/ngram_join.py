@@ -108,9 +108,9 @@ def _prefixes(width: int, percent: int, sketch, blocks: int):
             at = np.flatnonzero(np.diff(block, prepend=-1))
             rows = []
             for lo, hi in zip(at, [*at[1:], len(block)]):
-                own, local = np.unique(o[lo:hi], return_inverse=True)
-                rows.append((int(block[lo]), ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), marks[own].tobytes(), h[lo:hi].tobytes(), local.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["block", "ids", "sizes", "marks", "hashes", "local"])
+                own, count = np.unique(o[lo:hi], return_counts=True)  # entries lie in the order of their owners
+                rows.append((int(block[lo]), ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), marks[own].tobytes(), h[lo:hi].tobytes(), count.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["block", "ids", "sizes", "marks", "hashes", "lengths"])
 
     return run
 
@@ -119,11 +119,10 @@ def _groups(percent: int, slices: int):
     """Memberships (hub, document) of one hash block, packed by slices of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        col = {c: [x.as_buffer() for x in table.column(c)] for c in ("ids", "sizes", "marks", "hashes", "local")}
+        col = {c: [x.as_buffer() for x in table.column(c)] for c in ("ids", "sizes", "marks", "hashes", "lengths")}
         cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in col[c]])
         ids, sizes, marks, h = cat("ids", np.int64), cat("sizes", np.int32), cat("marks", np.uint64), cat("hashes", np.uint32)
-        base = np.concatenate([[0], np.cumsum([x.size // 8 for x in col["ids"]])])[:-1]
-        own = np.concatenate([np.frombuffer(x, dtype=np.int32) + b for x, b in zip(col["local"], base)])
+        own = np.repeat(np.arange(len(ids)), cat("lengths", np.int32))
         order = np.argsort(h, kind="stable")
         h, own = h[order], own[order]
         same = h[1:] == h[:-1]
@@ -272,7 +271,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     sketch = spark.sparkContext.broadcast(table.tobytes())  # 16 MB at any input size
     total = profile.agg(F.sum("n")).first()[0] or 0
     blocks = max(shuffle_partitions(spark), total * (100 - percent) // 100 // ENTRIES_PER_BLOCK)
-    entries = rows.mapInArrow(_prefixes(width, percent, sketch, blocks), "block int, ids binary, sizes binary, marks binary, hashes binary, local binary")
+    entries = rows.mapInArrow(_prefixes(width, percent, sketch, blocks), "block int, ids binary, sizes binary, marks binary, hashes binary, lengths binary")
     packed = entries.groupBy("block").applyInArrow(_groups(percent, blocks), "slice int, hubs binary, docs binary")
     per_doc = materialize(packed.groupBy("slice").applyInArrow(_memberships, "doc long, hubs array<long>"), "hubs")
     # A hub that is itself in an older hub's group hands its whole group over to the oldest of those.
