@@ -305,3 +305,22 @@ def test_best_fit():
         if not fits:
             rooms.append(100)
         rooms[w] -= n
+
+
+def test_parity_bitmaps_never_drop_a_linked_pair():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 62, size=rng.integers(1, 3000), dtype=np.int64).view(np.uint64)
+        sets.append(np.unique(base))
+        if rng.random() < 0.7:
+            cut = int(len(base) * rng.uniform(0.7, 1))
+            more = rng.integers(0, 1 << 62, size=int(len(base) * rng.uniform(0, 0.2)), dtype=np.int64).view(np.uint64)
+            sets.append(np.unique(np.concatenate([base[:cut], more])))
+    n = np.array([len(s) for s in sets])
+    common = ngram_join.overlaps(sets)
+    linked = 100 * common >= 75 * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(linked, False)
+    hopeful = ngram_join.promising([ngram_join.parity(s) for s in sets], n, 75)
+    assert linked.any() and (hopeful | ~linked.any(axis=1)).all()
+    assert not hopeful.all()

@@ -7,10 +7,13 @@
    of shingle frequency, rare first, so common lines and passages stay out of these prefixes.
 3. Prefix entries are dealt to hash blocks.  A block turns each posting list into segments between
    which sizes differ too much, and names each segment after its smallest document (or that one's own smallest).
-4. Each named group is a product of its document-by-shingle incidence matrix with its transpose.
+4. Each document has a parity bitmap of its set, about one bit a shingle.  Two bitmaps differ in no
+   more bits than their sets in shingles, so a document that differs too much from every other one
+   of its group leaves it before any text is moved.
+5. Each named group is a product of its document-by-shingle incidence matrix with its transpose.
    Groups above ``block_docs`` are dealt out as pairs of document blocks.  Overlaps are accumulated over blocks
    of columns; pairs below the size-derived bound go, and a spanning forest of the rest is returned.
-5. Components of the forest edges, by alternating stars.
+6. Components of the forest edges, by alternating stars.
 
 No pair table exists at any time: each step's rows are linear in documents, but for copies of a
 document in a group over ``block_docs``, which go to one task per block of that group.
@@ -39,6 +42,7 @@ GROUP_ROWS = 2_000
 MEMBER_BITS = 26
 MEMBER_SQL = f"pmod(xxhash64(doc), {1 << MEMBER_BITS}L) + 1"
 COLUMNS = 4096
+PARITY_BITS = (64, 4096)
 SPARSE_COLUMN = 8
 
 
@@ -51,23 +55,61 @@ def shingle_sets(texts: pa.Array, width: int):
                 yield w.lo + i, np.unique(runs[bounds[i] : bounds[i + 1]])
 
 
+def parity(mixed: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of the hashes fall on i; halves XORed give the bitmap of half the width."""
+    bits = min(max(1 << (len(mixed) - 1).bit_length(), PARITY_BITS[0]), PARITY_BITS[1])
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def promising(bitmaps: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set may reach the share with another one, by sizes and differing bits."""
+    width = np.array([len(x) for x in bitmaps])
+    found = np.zeros(len(n), dtype=bool)
+    for w in np.unique(width):
+        wide = np.flatnonzero(width >= w)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], np.uint8).reshape(-1, w), axis=0) for i in wide])
+        sign = np.unpackbits(folded, axis=1).astype(np.float32) * 2 - 1
+        row = np.flatnonzero(width[wide] == w)
+        differ = (8 * w - sign[row] @ sign.T) / 2
+        a, b = n[wide][row][:, None], n[wide][None, :]
+        near = (differ * (100 + percent) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        near[np.arange(len(row)), row] = False
+        found[wide[row]] |= near.any(axis=1)
+        found[wide] |= near.any(axis=0)
+    return found
+
+
+def _hopeful(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        hub, n, bits = table.column("hub").to_numpy(), table.column("n").to_numpy(), table.column("bits").to_pylist()
+        order = np.argsort(hub, kind="stable")
+        at = np.flatnonzero(np.diff(hub[order], prepend=hub[order[0]] - 1))
+        keep = [part[promising([bits[i] for i in part], n[part], percent)] for part in np.split(order, at[1:])]
+        return table.select(["doc", "hub", "task", "p", "q"]).take(pa.array(np.concatenate(keep)))
+
+    return run
+
+
 def _profile(width: int):
-    """Per document size and signature; per task the frequency sketch, in slots."""
+    """Per document size, signature and parity bitmap; per task the frequency sketch, in slots."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
             n, a, b = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3))
+            bits: list[bytes | None] = [None] * batch.num_rows
             for i, s in shingle_sets(batch.column("text"), width):
                 n[i] = len(s)
                 a[i] = np.add.reduce(mix(s)).view(np.int64)
-                b[i] = np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)
+                mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D))
+                b[i], bits[i] = np.add.reduce(mixed).view(np.int64), parity(mixed)
                 np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "s1", "s2", "slot", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "s1", "s2", "bits", "slot", "counts"])
         squeeze = zstandard.ZstdCompressor(level=1)
         parts = [(k, p) for k, p in enumerate(sketch.reshape(-1, 1 << SLOT_BITS)) if p.any()]
         m = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 1 + [pa.nulls(m, pa.int64())] * 3 + [pa.array([k for k, _ in parts], pa.int32()), pa.array([squeeze.compress(p.tobytes()) for _, p in parts], pa.binary())], ["doc_id", "n", "s1", "s2", "slot", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.binary())] + [pa.array([k for k, _ in parts], pa.int32()), pa.array([squeeze.compress(p.tobytes()) for _, p in parts], pa.binary())], ["doc_id", "n", "s1", "s2", "bits", "slot", "counts"])
 
     return run
 
@@ -262,7 +304,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = materialize(rows.mapInArrow(_profile(width), "doc_id long, n long, s1 long, s2 long, slot int, counts binary"), "sets")
+    seen = materialize(rows.mapInArrow(_profile(width), "doc_id long, n long, s1 long, s2 long, bits binary, slot int, counts binary"), "sets")
     profile = seen.filter("slot is null").select("doc_id", "n", "s1", "s2")
     slots = seen.filter("slot is not null").select("slot", "counts").groupBy("slot").applyInArrow(_add_slots, "slot int, counts binary").collect()
     table = np.zeros((1 << SKETCH_BITS - SLOT_BITS, 1 << SLOT_BITS), dtype=np.int32)
@@ -279,19 +321,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     member = per_doc.select("doc", F.explode("hubs").alias("old")).join(heir, "old").select("hub", "doc").distinct()
     member = materialize(member, "groups")
     parts = member.groupBy("hub").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
-    mine = member.join(parts, "hub").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    bitmaps = seen.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "bits")
+    mine = member.join(parts, "hub").join(bitmaps, "doc").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     single, small = F.col("parts") == 1, max(shuffle_partitions(spark), member.count() // GROUP_ROWS)
-    tasks = mine.select("doc", "hub", "mine", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tasks = mine.select("doc", "hub", "n", "bits", "mine", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     tasks = tasks.select(
-        "doc",
-        F.struct(
-            "hub",
-            F.when(single, F.pmod(F.xxhash64("hub"), F.lit(small))).otherwise(F.col("hub")).alias("task"),
-            F.when(single, -1).otherwise(F.least("mine", "other")).alias("p"),
-            F.when(single, -1).otherwise(F.greatest("mine", "other")).alias("q"),
-        ).alias("t"),
+        "doc", "hub", "n", "bits",
+        F.when(single, F.pmod(F.xxhash64("hub"), F.lit(small))).otherwise(F.col("hub")).alias("task"),
+        F.when(single, -1).otherwise(F.least("mine", "other")).alias("p"),
+        F.when(single, -1).otherwise(F.greatest("mine", "other")).alias("q"),
     )
-    tasks = tasks.groupBy("doc").agg(F.collect_list("t").alias("tasks"))
+    tasks = tasks.groupBy("task", "p", "q").applyInArrow(_hopeful(percent), "doc long, hub long, task long, p int, q int").withColumn("t", F.struct("hub", "task", "p", "q"))
+    tasks = tasks.groupBy("doc").agg(F.collect_set("t").alias("tasks"))
     tasks = materialize(tasks, "tasks")
     members = spark.sparkContext.broadcast(_member_bits(tasks.select("doc")))  # 8 MB at any input size
     packed = rows.select("doc_id", "text", _place("doc_id").alias("place")).mapInArrow(_pack(members), "doc_id long, packed binary")
