@@ -11,6 +11,7 @@ from ..operators import log as G
 from ..operators import reconcile as R
 from ..operators.apply import apply_changes, validate
 from ..operators.fold import fold, fold_stable, illegal_steps
+from ..sources import wire as W
 from ..sources.tables import ADDED, MOVED, orders_log, orders_snapshot, table
 from ..streaming import mirror
 from .control import Column, Table, admit
@@ -427,3 +428,60 @@ def stream_mirror_available_now(spark, sf_dir):
     q = mirror.start(spark, f"{where}/log", log.schema, store, "orders", "0", f"{where}/offsets", fence, {"availableNow": True}, 1000)
     q.awaitTermination()
     return store.read("orders").select(*KEYS, *DATA)
+
+
+# ---------------------------------------------------------------- wire protocol
+
+_ORDERS_ID, _RESHAPED = 16384, 20_000
+
+
+def _wire_log(spark, sf_dir) -> DataFrame:
+    """Binary messages of one transaction an order (every seventh with an unchanged priority, every fifth a delete, every
+    eleventh a move); a wider shape begins at order 20000."""
+    text = lambda s: F.lit(s.encode() + b"\0")
+    column = lambda name, is_key, kind: F.concat(F.lit(bytes([is_key])), text(name), W.integer(F.lit(kind), 4), F.lit(b"\xff\xff\xff\xff"))
+    columns = [column("o_orderkey", 1, 20), column("price", 0, 1700), column("priority", 0, 25), column("note", 0, 25)]
+    relation = lambda n: F.concat(F.lit(b"R"), W.integer(F.lit(_ORDERS_ID), 4), text("sales"), text("orders"), F.lit(b"d"), W.integer(F.lit(n), 2), *columns[:n])
+    shapes = [spark.range(1).select(F.lit(0).alias("node_id"), F.lit(seq).cast("long").alias("seq"), relation(n).alias("payload")) for seq, n in ((0, 3), (_RESHAPED * 10, 4), (_RESHAPED * 10 + 5_000, 4))]
+    key, base = F.col("o_orderkey"), F.col("o_orderkey") * 10
+    priority = F.when(key % 7 == 0, F.lit(W.UNCHANGED)).otherwise(W.cell(F.col("priority")))
+    cells = lambda k: (W.cell(k), W.cell(F.when(key % 3 != 0, F.col("price"))), priority)
+    new = lambda k: F.when(key < _RESHAPED, W.row(*cells(k))).otherwise(W.row(*cells(k), W.cell(F.lit("n"))))
+    old = F.when(key < _RESHAPED, W.row(W.cell(key), *[F.lit(b"n")] * 2)).otherwise(W.row(W.cell(key), *[F.lit(b"n")] * 3))
+    head = lambda tag: F.concat(F.lit(tag), W.integer(F.lit(_ORDERS_ID), 4))
+    change = F.when(key % 5 == 0, F.concat(head(b"D"), F.lit(b"K"), old)).when(key % 11 == 0, F.concat(head(b"U"), F.lit(b"K"), old, F.lit(b"N"), new(key + MOVED))).otherwise(F.concat(head(b"U"), F.lit(b"N"), new(key)))
+    begin = F.concat(F.lit(b"B"), W.integer(base + 3, 8), W.integer(F.lit(0), 8), W.integer(key, 4))
+    commit = F.concat(F.lit(b"C\0"), W.integer(base + 3, 8), W.integer(base + 4, 8), W.integer(F.lit(0), 8))
+    items = F.array(*(F.struct((base + n).alias("seq"), payload.alias("payload")) for n, payload in ((1, begin), (2, change), (3, commit))))
+    log = orders_snapshot(spark, sf_dir).select(F.explode(items).alias("m")).select(F.lit(0).alias("node_id"), "m.seq", "m.payload")
+    for s in shapes:
+        log = log.unionByName(s)
+    return log
+
+
+@query(f"""SELECT o_orderkey * 10 + 2 AS seq, o_orderkey AS xid, CAST(CASE WHEN o_orderkey < {_RESHAPED} THEN 1 ELSE 2 END AS BIGINT) AS generation,
+CASE WHEN o_orderkey % 5 = 0 THEN 'D' ELSE 'U' END AS op,
+CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 11 = 0 THEN o_orderkey + {MOVED} ELSE o_orderkey END AS o_orderkey,
+CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 11 = 0 THEN o_orderkey END AS old_o_orderkey,
+CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS price,
+CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
+o_orderkey % 5 <> 0 AS p_price, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS p_priority FROM orders""")
+def wire_decode_changes(spark, sf_dir):
+    """Binary log -> messages -> transactions and shapes in force -> the log that the fold reads."""
+    bound = W.with_relations(W.with_transactions(W.decode(_wire_log(spark, sf_dir)), block=4096))
+    changes = W.change_log(bound, KEYS, {"o_orderkey": "long", "price": "decimal(18,2)", "priority": "string"})
+    return changes.join(bound.select("seq", "xid", "generation"), "seq")
+
+
+@query(f"""WITH base AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderpriority AS priority FROM orders)
+SELECT CASE WHEN k % 11 = 0 THEN k + {MOVED} ELSE k END AS o_orderkey, CASE WHEN k % 3 <> 0 THEN price END AS price, priority FROM base WHERE k % 5 <> 0""")
+def wire_to_mirror(spark, sf_dir):
+    """Snapshot and binary log to the current state."""
+    bound = W.with_relations(W.with_transactions(W.decode(_wire_log(spark, sf_dir))))
+    log = W.change_log(bound, KEYS, {"o_orderkey": "long", "price": "decimal(18,2)", "priority": "string"})
+    return apply_changes(orders_snapshot(spark, sf_dir).drop("o_custkey"), fold(log, KEYS, ["price", "priority"]), KEYS, ["price", "priority"])
+
+
+@query("SELECT kind, n FROM (SELECT 'begin' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'commit', count(*) FROM orders UNION ALL SELECT 'row', count(*) FROM orders UNION ALL SELECT 'relation', 3)")
+def wire_message_counts(spark, sf_dir):
+    return W.decode(_wire_log(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
