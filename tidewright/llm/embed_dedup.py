@@ -132,13 +132,15 @@ def _count(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, ...)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    # single precision stays as it is while vectors move; products are in double precision either way
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
     sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = rows.filter(sound & F.col("vec_id").isNotNull())
     classes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("vector")), "vectors")
     n = classes.count()
     parts = max(shuffle_partitions(spark), n // 200_000)
-    keyed = classes.mapInArrow(_keys(passes_for(n, threshold, window, recall), BITS, seed), "turn int, dim int, key long, rep long, vector array<double>")
+    keyed = classes.mapInArrow(_keys(passes_for(n, threshold, window, recall), BITS, seed), f"turn int, dim int, key long, rep long, vector {kind}")
     ordered = keyed.repartitionByRange(parts, "turn", "dim", "key", "rep").sortWithinPartitions("turn", "dim", "key", "rep")
     found = materialize(components(ordered.mapInArrow(_windows(threshold, window), "a long, b long")).select("node", "component"), "components")
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
