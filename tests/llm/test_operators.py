@@ -324,3 +324,21 @@ def test_parity_bitmaps_never_drop_a_linked_pair():
     hopeful = ngram_join.promising([ngram_join.parity(s) for s in sets], n, 75)
     assert linked.any() and (hopeful | ~linked.any(axis=1)).all()
     assert not hopeful.all()
+
+
+def test_distances_of_many_pairs():
+    rng = np.random.default_rng(4)
+    items = [bytes(rng.integers(97, 101, size=n).astype(np.uint8)) for n in (1, 5, 63, 64, 65, 128, 200, 300, 1100)]
+    which, texts = [], []
+    for i, item in enumerate(items):
+        for _ in range(6):
+            text = bytearray(bytes(rng.integers(97, 101, size=rng.integers(0, 90)).astype(np.uint8)) + item + b"\0bc")
+            for _ in range(int(rng.integers(0, 12))):
+                at = int(rng.integers(0, len(text)))
+                text[at : at + int(rng.integers(0, 2))] = b"ab"[: int(rng.integers(0, 3))]
+            which.append(i)
+            texts.append(bytes(text))
+        which.append(i)
+        texts.append(b"")
+    got = decontaminate.distances(items, np.array(which), texts)
+    assert got.tolist() == [decontaminate.best_distance(items[i], t)[0] for i, t in zip(which, texts)]

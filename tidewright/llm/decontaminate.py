@@ -31,6 +31,7 @@ WALKS, TABLES, SAMPLE = 3, 6, 8
 MAX_PERCENT = 25
 BLOCK_ITEMS = 20_000
 BATCH = 1 << 18
+LANES, MOST_BLOCKS, HELD_BYTES = 8192, 16, 1 << 24
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -95,6 +96,54 @@ def best_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def _myers(items: list[bytes], which: np.ndarray, texts: list[bytes], blocks: int) -> np.ndarray:
+    """``best_distance`` of many pairs at once, a pair a lane; items have ``blocks`` words of 64 rows."""
+    own, local = np.unique(which, return_inverse=True)
+    peq = np.zeros((blocks, len(own) * 257), dtype=np.uint64)
+    for i, o in enumerate(own):
+        row = np.arange(len(items[o]))
+        np.bitwise_or.at(peq, (row // 64, i * 257 + np.frombuffer(items[o], np.uint8).astype(np.int64)), U64(1) << (row % 64).astype(np.uint64))
+    # code 256 stands after a text's end; it matches nothing and so never lowers a distance
+    code = np.full((max(map(len, texts)), len(texts)), 256, dtype=np.int64)
+    for i, t in enumerate(texts):
+        code[: len(t), i] = np.frombuffer(t, np.uint8)
+    code += local * 257
+    score = np.array([len(items[o]) for o in which])
+    best, one = score.copy(), U64(1)
+    tops = [U64(63)] * (blocks - 1) + [((score - 1) % 64).astype(np.uint64)]
+    pv, mv = np.full((blocks, len(texts)), ~U64(0)), np.zeros((blocks, len(texts)), dtype=np.uint64)
+    none = np.zeros(len(texts), dtype=np.uint64)
+    for at in code:
+        plus = minus = none
+        for k, top in enumerate(tops):
+            eq, p, m = peq[k][at], pv[k], mv[k]
+            xv = eq | m
+            eq |= minus
+            xh = ((eq & p) + p ^ p) | eq
+            ph, mh = m | ~(xh | p), p & xh
+            up, down = ph << one | plus, mh << one | minus
+            plus, minus = ph >> top & one, mh >> top & one
+            pv[k], mv[k] = down | ~(xv | up), up & xv
+        score += plus.astype(np.int64) - minus.astype(np.int64)
+        np.minimum(best, score, out=best)
+    return best
+
+
+def distances(items: list[bytes], which: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Least edit distance of ``items[which[i]]`` to any part of ``texts[i]``."""
+    out = np.zeros(len(texts), dtype=np.int64)
+    blocks = np.array([-(-len(items[i]) // 64) for i in which], dtype=np.int64)
+    for b in np.unique(blocks):
+        part = np.flatnonzero(blocks == b)
+        part = part[np.argsort([len(texts[i]) for i in part], kind="stable")]
+        for lanes in np.split(part, range(max(1, LANES // b), len(part), max(1, LANES // b))):
+            if b > MOST_BLOCKS:
+                out[lanes] = [best_distance(items[which[i]], texts[i])[0] for i in lanes]
+            else:
+                out[lanes] = _myers(items, which[lanes], [texts[i] for i in lanes], int(b))
+    return out
+
+
 def _bigrams(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hash of each word with the next one of its document; 0 for a document's last."""
     out = np.zeros(len(hashes), dtype=np.uint64)
@@ -163,28 +212,38 @@ class ItemIndex:
 
 def _links(index, max_percent: int):
     def run(batches):
-        ix = index.value
+        ix, waiting, held = index.value, [], 0
+        texts = [t for _, t in ix.items]
+
+        def verify():
+            ids, which, parts = zip(*waiting)
+            waiting.clear()
+            distance = distances(texts, np.array(which), list(parts))
+            near = [i for i, d in enumerate(distance.tolist()) if 100 * d <= max_percent * len(texts[which[i]])]
+            rows = [(ids[i], ix.items[which[i]][0], int(distance[i]), len(texts[which[i]])) for i in near]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "distance", "item_chars"])
+
         for batch in batches:
-            ids, rows = batch.column("doc_id").to_pylist(), []
+            ids = batch.column("doc_id").to_pylist()
             for w in words(batch.column("text"), lower=True):
                 data, found = ix.candidates(w)
-                best: dict[tuple[int, int], tuple[int, int]] = {}
                 reach: dict[tuple[int, int], int] = {}
                 for doc, item, start in found.tolist():
-                    lo, hi = int(w.starts[w.first[doc]]), int(w.ends[w.first[doc + 1] - 1])
-                    text, slack = ix.items[item][1], len(ix.items[item][1]) * max_percent // 100
-                    key = (doc, item)
-                    if key in best and start <= reach[key]:
+                    slack, key = len(texts[item]) * max_percent // 100, (doc, item)
+                    if start <= reach.get(key, start - 1):
                         continue  # within the slack of a place already tried
-                    a, z = max(lo, start - slack), min(hi, start + len(text) + 2 * slack)
-                    distance, _ = best_distance(text, data[a:z].tobytes())
+                    lo, hi = int(w.starts[w.first[doc]]), int(w.ends[w.first[doc + 1] - 1])
+                    a, z = max(lo, start - slack), min(hi, start + len(texts[item]) + 2 * slack)
                     reach[key] = start + slack // 2
-                    best[key] = min(best.get(key, (1 << 30, 0)), (distance, a))
-                for (doc, item), (distance, _) in best.items():
-                    if 100 * distance <= max_percent * len(ix.items[item][1]) and ids[w.lo + doc] is not None:
-                        rows.append((ids[w.lo + doc], ix.items[item][0], distance, len(ix.items[item][1])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "distance", "item_chars"])
+                    if ids[w.lo + doc] is not None and a < z:
+                        waiting.append((ids[w.lo + doc], item, data[a:z].tobytes()))
+                        held += int(z - a)
+                    if len(waiting) >= LANES or held >= HELD_BYTES:
+                        yield from verify()
+                        held = 0
+        if waiting:
+            yield from verify()
 
     return run
 
