@@ -191,6 +191,42 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def near_by(rng, x, cosine):
+    """A vector at ``cosine`` to each unit vector of ``x``."""
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+def test_vectors_hot_group_and_skew(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    core = unit(rng.normal(size=(1, 32)))
+    hot = near_by(rng, np.repeat(core, 4000, axis=0), 0.99)
+    v = np.concatenate([hot, near_by(rng, hot[:100], 0.951), unit(unit(rng.normal(size=(4000, 32))) + 1.5 * core[:, ::-1])])
+    v = np.concatenate([v, near_by(rng, v[-1000:], 0.953)])
+    near = v @ v.T >= 0.95
+    want = near.sum(axis=1) - 1
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")).collect()}
+    have = np.array([got[i].n_links for i in range(len(v))])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum()
+    assert (have[4000:4100] == want[4000:4100]).mean() > 0.98 and (have[-1000:] == want[-1000:]).mean() > 0.98
+
+
+@pytest.mark.parametrize("mean", [0, 0.7, 0.8])
+def test_vector_plan_keeps_its_recall(mean):
+    rng = np.random.default_rng(4)
+    n, unit = 40_000, lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.sqrt(mean) * np.eye(64)[0] + np.sqrt(1 - mean) * unit(rng.normal(size=(n, 64))))
+    passes, depth, centre = embed_dedup.plan(x[:4000], n, 0.95, 0.995, 5)
+    y = near_by(rng, x[:4000], 0.952)
+    met = np.zeros(len(y), dtype=bool)
+    for _ in range(passes):
+        planes = rng.normal(size=(64, depth))
+        met |= (((x[:4000] - centre) @ planes > 0) == ((y - centre) @ planes > 0)).all(axis=1)
+    assert met.mean() >= 0.99
+
+
 def rules(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]

@@ -1,13 +1,16 @@
-"""Embedding near-dedup by sorted projection passes.
-
-Equal vectors form one class.  Each pass draws random hyperplanes, orders the classes
-lexicographically by the concatenated signs and compares each vector with the next ``WINDOW`` in
-cosine (double precision); a spanning forest of the links found is kept.  The number of passes
-grows with the table so that a pair at the threshold is met with probability ``RECALL``.
+"""Embedding near-dedup by sign-key passes.
+
+Equal vectors form one class.  Each pass draws random hyperplanes and deals the classes to buckets
+by the signs of a prefix of them; all vectors of a bucket are compared in cosine (double precision),
+large buckets by products of blocks, and a spanning forest of the links found is kept.  The depth of
+the prefix, the point the planes pass through (the origin or the mean) and the number of passes come
+from the vectors themselves (``plan``): a sample gives the share of pairs that meet in a bucket and
+each row's chance of meeting a partner at the threshold; passes are added until that chance reaches
+``RECALL`` on average and ``LEAST`` for the worst hundredth of the rows, at the least cost.  Depth 0
+is one bucket, the exact comparison of all pairs, chosen where keys can't part the vectors for less.
 After the union of all passes, the links inside each component are completed exactly, by products
-of blocks of its vectors, so groups larger than a window report all their links.
+of blocks of its vectors, so groups larger than a bucket report all their links.
 
-The order's partitions are cut by range; windows end at a cut, and the cuts differ between passes.
 Nulls: vectors that are null, zero, or hold null or non-finite components link with nothing; a null
 ``vec_id`` gets a null component and no links.  Vectors of different lengths don't link.  Repeated
 rows count as vectors of their own.
@@ -25,15 +28,49 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import materialize, shuffle_partitions
 
-THRESHOLD, WINDOW, BITS, RECALL = 0.95, 24, 62, 0.995
-BLOCK, BUCKET_ROWS = 512, 4000
-
-
-def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
-    """Passes until a pair at the threshold shares a prefix that leaves under ``window`` rows."""
-    agree = 1 - math.acos(threshold) / math.pi
-    met = agree ** max(0.0, math.log2(max(n, 2) / window))
-    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+THRESHOLD, BITS, RECALL, LEAST = 0.95, 62, 0.995, 0.9
+BLOCK, LINK_BLOCK, BUCKET_ROWS, SAMPLE = 512, 2048, 4000, 4000
+#: Cost of moving a row to a bucket, counted in comparisons.
+MOVE = 1000
+
+
+def _passes(met: np.ndarray, recall: float, least: float) -> float:
+    """Passes until rows that meet a partner with chance ``met`` a pass reach ``recall`` and ``least``."""
+    reached = lambda p: (x := 1 - (1 - met) ** p).mean() >= recall and np.quantile(x, 0.01) >= least
+    hi = 1
+    while not reached(hi):
+        hi *= 2
+        if hi > 1 << 20:
+            return math.inf
+    lo = hi // 2
+    while hi - lo > 1:
+        lo, hi = (lo, mid) if reached(mid := (lo + hi) // 2) else (mid, hi)
+    return hi
+
+
+def plan(sample: np.ndarray, n: int, threshold: float, recall: float, seed: int) -> tuple[int, int, np.ndarray]:
+    """(passes, depth, centre) of least cost for ``n`` vectors like the unit vectors of ``sample``."""
+    best = (float(n), 1, 0, np.zeros(sample.shape[1]))
+    apart = 2 * (1 - threshold)
+    rng = np.random.default_rng([seed, 1])
+    for centre in (np.zeros(sample.shape[1]), sample.mean(axis=0)):
+        rest = sample - centre
+        # a partner as far from the centre as the row itself, at the threshold's distance
+        cosine = np.clip(1 - apart / (2 * np.maximum((rest * rest).sum(axis=1), 1e-12)), -1, 1)
+        agree = 1 - np.arccos(cosine) / math.pi
+        signs = [rest @ rng.normal(size=(sample.shape[1], BITS)) > 0 for _ in range(4)]
+        keys = np.zeros((4, len(sample)), dtype=np.int64)
+        for depth in range(1, BITS + 1):
+            keys = keys * 2 + np.stack([s[:, depth - 1] for s in signs])
+            sizes = [np.unique(k, return_counts=True)[1].astype(float) for k in keys]
+            shared = np.mean([(c * (c - 1)).sum() for c in sizes]) / max(1, len(sample) * (len(sample) - 1))
+            passes = _passes(agree**depth, recall, LEAST)
+            if passes * MOVE > best[0]:
+                break  # deeper keys need more passes
+            cost = passes * (MOVE + n * shared)
+            if cost < best[0]:
+                best = (cost, passes, depth, centre)
+    return best[1:]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -43,21 +80,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, bits: int, seed: int):
-    """Each vector once a pass, with its sign key."""
+def _keys(plans: dict[int, tuple[int, int, np.ndarray]], seed: int):
+    """Each vector once a pass, with the sign key of its bucket."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = np.array(batch.column("dim"))
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
+                passes, depth, centre = plans[dim]
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).normal(size=(int(dim), passes * bits))
-                signs = (_matrix(part.column("vector")) @ planes[dim] > 0).reshape(len(part), passes, bits)
-                key = signs @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(passes, dim, depth))
+                v = _matrix(part.column("vector")) - centre
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), part.column("dim"), pa.array(key[:, p]), part.column("rep"), part.column("vector")], ["turn", "dim", "key", "rep", "vector"])
+                    key = (v @ planes[dim][p] > 0) @ (np.int64(1) << np.arange(depth, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), part.column("dim"), pa.array(key.astype(np.int64)), part.column("rep"), part.column("vector")], ["turn", "dim", "key", "rep", "vector"])
 
     return run
 
@@ -77,29 +115,60 @@ def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in parent if find(x) != x]
 
 
-def _windows(threshold: float, window: int):
-    def run(batches):
-        tail = None
-        for batch in batches:
-            turn, dim, rep = (np.array(batch.column(c)) for c in ("turn", "dim", "rep"))
-            for at in np.split(np.arange(len(rep)), np.flatnonzero((np.diff(turn) != 0) | (np.diff(dim) != 0)) + 1):
-                if not len(at):
-                    continue
-                v, ids, name = _matrix(batch.column("vector").slice(at[0], len(at))), rep[at], (turn[at[0]], dim[at[0]])
-                if tail and tail[0] == name:
-                    v, ids = np.concatenate([tail[1], v]), np.concatenate([tail[2], ids])
-                found = []
-                for o in range(1, min(window, len(ids) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", v[:-o], v[o:]) >= threshold)
-                    found.append(np.stack([ids[hit], ids[hit + o]], axis=1))
-                tail = (name, v[-window:], ids[-window:])
-                edges = _forest(np.concatenate(found)) if found else []
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
+def _joined(near: np.ndarray) -> np.ndarray:
+    """Pairs (row, column) of ``near`` that hold together what all its pairs do, by breadth-first search."""
+    if near.sum() <= 4 * sum(near.shape):
+        return np.argwhere(near)
+    rows, cols, out = near.any(axis=1), np.ones(near.shape[1], dtype=bool), []
+    while rows.any():
+        edge = np.array([rows.argmax()])
+        rows[edge] = False
+        while len(edge):
+            part = near[edge]
+            new = np.flatnonzero(part.any(axis=0) & cols)
+            cols[new] = False
+            out.append(np.stack([edge[part[:, new].argmax(axis=0)], new], axis=1))
+            part = near[:, new]
+            edge = np.flatnonzero(part.any(axis=1) & rows)
+            rows[edge] = False
+            out.append(np.stack([edge, new[part[edge].argmax(axis=1)]] if len(new) else [edge, edge], axis=1))
+    return np.concatenate(out)
+
+
+def _link(threshold: float):
+    """A spanning forest of the links of a task's buckets: within a block (p = q) or between two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        turn, dim, key, rep, mine, p, q = (table.column(c).to_numpy() for c in ("turn", "dim", "key", "rep", "mine", "p", "q"))
+        vectors = table.column("vector").combine_chunks()
+        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        order = np.lexsort((rep, key, dim, turn))
+        cuts = np.flatnonzero((np.diff(turn[order]) != 0) | (np.diff(dim[order]) != 0) | (np.diff(key[order]) != 0)) + 1
+        found = []
+        for part in np.split(order, cuts) if len(order) else []:
+            v = _matrix(vectors.take(pa.array(part)))
+            a, b = mine[part] == p[part], mine[part] == q[part]
+            pairs = _joined(v[a] @ v[b].T >= threshold)
+            found.append(np.stack([rep[part][a][pairs[:, 0]], rep[part][b][pairs[:, 1]]], axis=1))
+        edges = np.array(_forest(np.concatenate(found)) if found else [], dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
     return run
 
 
+def _blocks(rows: DataFrame, of: list[str], block: int, tasks: int) -> DataFrame:
+    """``rows`` dealt to tasks: small groups of ``of`` share one, each pair of blocks of a large one has its own."""
+    large = rows.groupBy(*of).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).filter("parts > 1")
+    single = F.col("parts") == 1
+    dealt = rows.join(F.broadcast(large), of, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({
+        "p": F.least("mine", "other"), "q": F.greatest("mine", "other"),
+        "task": F.when(single, F.pmod(F.xxhash64(*of), F.lit(tasks))).otherwise(F.xxhash64(*of)),
+        "single": single,
+    })
+
+
 def _count(threshold: float):
     """Links of each vector of a task: within its block (p = q) or with the other block."""
 
@@ -129,7 +198,7 @@ def _count(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, ...)."""
     spark = vectors.sparkSession
     # single precision stays as it is while vectors move; products are in double precision either way
@@ -138,21 +207,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = rows.filter(sound & F.col("vec_id").isNotNull())
     classes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("vector")), "vectors")
-    n = classes.count()
-    parts = max(shuffle_partitions(spark), n // 200_000)
-    keyed = classes.mapInArrow(_keys(passes_for(n, threshold, window, recall), BITS, seed), f"turn int, dim int, key long, rep long, vector {kind}")
-    ordered = keyed.repartitionByRange(parts, "turn", "dim", "key", "rep").sortWithinPartitions("turn", "dim", "key", "rep")
-    found = materialize(components(ordered.mapInArrow(_windows(threshold, window), "a long, b long")).select("node", "component"), "components")
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    joined = classes.join(found, F.col("rep") == F.col("node")).join(sizes, "component")
-    single = F.col("parts") == 1
-    dealt = joined.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
-        "component", "rep", "weight", "mine", "vector",
-        F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
-        F.when(single, F.pmod(F.xxhash64("component"), F.lit(max(parts, n // BUCKET_ROWS)))).otherwise(F.col("component")).alias("task"),
-        single.alias("single"),
-    )
+    count = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    n, plans = sum(count.values()), {}
+    for dim, own in sorted(count.items()):
+        drawn = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(seed), "rep")).limit(SAMPLE).select("vector").toArrow()
+        plans[dim] = plan(_matrix(drawn.column("vector").combine_chunks()), own, threshold, recall, seed)
+    moved = sum(count[d] * plans[d][0] for d in count)
+    keyed = classes.mapInArrow(_keys(plans, seed), f"turn int, dim int, key long, rep long, vector {kind}")
+    dealt = _blocks(keyed, ["turn", "dim", "key"], LINK_BLOCK, max(shuffle_partitions(spark), moved // BUCKET_ROWS))
+    links = dealt.select("turn", "dim", "key", "rep", "vector", "mine", "p", "q", "task", "single").groupBy("task", "single", "p", "q").applyInArrow(_link(threshold), "a long, b long")
+    found = materialize(components(links).select("node", "component"), "components")
+    joined = classes.join(found, F.col("rep") == F.col("node"))
+    dealt = _blocks(joined, ["component"], BLOCK, max(shuffle_partitions(spark), n // BUCKET_ROWS)).select("component", "rep", "weight", "mine", "vector", "p", "q", "task", "single")
     counts = dealt.groupBy("task", "single", "p", "q").applyInArrow(_count(threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     facts = classes.join(found, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left")
     facts = facts.select(F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
