@@ -290,6 +290,29 @@ def test_decontamination(spark):
         assert decontaminate.best_distance(a, b)[0] == slow(a, b)
 
 
+def edited(rng, text, percent):
+    out = list(text)
+    for _ in range(len(text) * percent // 100):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (kind != 1)] = [rng.choice("abcdefghijklmnop")] if kind != 2 else []
+    return "".join(out)
+
+
+@pytest.mark.parametrize("percent,least", [(10, 0.98), (20, 0.95), (25, 0.9)])
+def test_decontamination_recall(percent, least):
+    rng = random.Random(12)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    items = [(i, " ".join(letters() for _ in range(rng.choice([8, 14, 30, 60])))) for i in range(120)]
+    filler = " ".join(letters() for _ in range(60))
+    texts = [f"{filler} {edited(rng, t, percent)} {filler}" for _, t in items]
+    class Held:
+        value = decontaminate.ItemIndex(items)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(texts)], ["doc_id", "text"])
+    found = {(r["doc_id"], r["item_id"]) for b in decontaminate._links(Held, 25)([batch]) for r in b.to_pylist()}
+    true = [i for i, t in items if 4 * decontaminate.best_distance(t.encode(), texts[i].encode())[0] <= len(t)]
+    assert np.mean([(i, i) in found for i in true]) >= least
+
+
 def test_fixity(spark):
     rows = [(i, f"http://h/{i}", "é" * (i % 50)) for i in range(600)] + [(7, "http://h/7", "again"), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -8,13 +8,18 @@
    reflects their edit distance: at step j it emits the current byte and moves on by a random bit
    drawn for (j, byte).  Each of ``WALKS`` walks has ``TABLES`` hash tables, each over ``SAMPLE``
    sampled steps; windows that agree in any table are candidates.
-3. A candidate names an item and where it should lie in the document.  The edit distance of the
+3. What these tables may miss (damaged word pairs, short items, edits near ``max_percent``, text without
+   spaces) is sought by byte grams: every place of a document whose gram is one of an item's votes for
+   (item, place - offset), and a band of neighbouring places with enough votes is a candidate.  Gram
+   length follows the item's length; the least number of votes is the one that simulated copies with
+   random edits up to ``max_percent`` of the item's bytes reach with probability ``TARGET``.
+4. A candidate names an item and where it should lie in the document.  The edit distance of the
    whole item to its best place in that item-sized window (with slack) is computed exactly by
    bit-parallel dynamic programming, and links of at most ``max_percent`` of the item's length stay.
 
 Items go to the workers in blocks of at most ``BLOCK_ITEMS``.  Nulls: null or empty texts link with
 nothing; rows with a null ``doc_id`` or ``item_id`` and items of fewer than three words or
-``MIN_ITEM`` characters are left out.  Repeated ids are told apart by nothing: their links merge.
+``MIN_ITEM`` bytes are left out.  Repeated ids are told apart by nothing: their links merge.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from .tokens import U64, mix, words
 WINDOW, MIN_ITEM = 64, 24
 WALKS, TABLES, SAMPLE = 3, 6, 8
 MAX_PERCENT = 25
+#: Bytes of a gram for items from so many bytes on; votes reached by this share of copies at the most edits.
+GRAMS, TARGET, TRIALS = ((0, 3), (40, 4), (64, 6), (128, 7), (200, 8)), 0.95, 300
+SLICE, GRAM_BITS = 1 << 20, 22
 BLOCK_ITEMS = 20_000
 BATCH = 1 << 18
 LANES, MOST_BLOCKS, HELD_BYTES = 8192, 16, 1 << 24
@@ -153,10 +161,111 @@ def _bigrams(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def gram_size(m: int) -> int:
+    return next(q for least, q in reversed(GRAMS) if m >= least)
+
+
+def band(m: int) -> int:
+    """Half the width of a band of places."""
+    return max(16, m // 16)
+
+
+def votes_needed(m: int, percent: int, target: float = TARGET) -> int:
+    """Votes of one band that ``target`` of the copies of an item of ``m`` bytes reach, edited at random."""
+    rng, q, half = np.random.default_rng([13, m]), gram_size(m), band(m)
+    reached = []
+    for _ in range(TRIALS):
+        copy = list(range(m))
+        for kind in rng.integers(0, 3, m * percent // 100):
+            at = int(rng.integers(0, len(copy)))
+            copy[at : at + (kind != 1)] = [-1] if kind != 2 else []
+        own = np.array(copy)
+        x = np.arange(max(0, len(own) - q + 1))
+        whole = own[x] >= 0
+        for j in range(1, q):
+            whole &= own[x + j] == own[x] + j
+        count = np.bincount((x - own[x])[whole] // half + m // half + 2, minlength=2)
+        reached.append((count[1:] + count[:-1]).max())
+    return max(1, int(np.quantile(reached, 1 - target, method="lower")))
+
+
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
+    """Each run of ``q`` bytes as a number."""
+    n = max(0, len(data) - q + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(q):
+        out = out << U64(8) | data[j : n + j]
+    return out
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams * U64(0x9E3779B97F4A7C15) >> U64(64 - GRAM_BITS)).astype(np.int64)
+
+
+def _ranges(a: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)
+
+
+class Grams:
+    """The grams of ``q`` bytes of the items ``which``."""
+
+    def __init__(self, items: list[bytes], which: list[int], q: int, percent: int) -> None:
+        self.q, self.longest = q, max(len(items[i]) for i in which)
+        need: dict[int, int] = {}
+        self.need, self.half = np.zeros(len(items), dtype=np.int64), np.ones(len(items), dtype=np.int64)
+        for i in which:
+            m = len(items[i])
+            m = min(m if m < 64 else m // 16 * 16, 512)
+            self.need[i] = need.setdefault(m, need.get(m) or votes_needed(m, percent))
+            self.half[i] = band(len(items[i]))
+        grams = [_grams(np.frombuffer(items[i], np.uint8), q) for i in which]
+        owner, offset = np.repeat(which, [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
+        grams = np.concatenate(grams)
+        order = np.argsort(grams, kind="stable")
+        self.owner, self.offset = owner[order], offset[order]
+        self.grams, first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
+        self.first = first
+        self.coarse = np.zeros(1 << GRAM_BITS, dtype=bool)
+        self.coarse[_slot(self.grams)] = True
+
+    def candidates(self, data: np.ndarray, begin: np.ndarray):
+        """(document, item, place) of the bands of ``data`` with enough votes; documents start at ``begin``."""
+        for lo in range(0, len(data), SLICE):
+            part = data[max(0, lo - 2 * self.longest) : lo + SLICE]
+            base = max(0, lo - 2 * self.longest)
+            grams = _grams(part, self.q)
+            at = np.flatnonzero(self.coarse[_slot(grams)])
+            place = np.searchsorted(self.grams, grams[at]).clip(max=len(self.grams) - 1)
+            good = self.grams[place] == grams[at]
+            at, place = at[good], place[good]
+            if not len(at):
+                continue
+            entry = _ranges(self.first[place], self.count[place])
+            x = np.repeat(at + base, self.count[place])
+            item = self.owner[entry]
+            start = x - self.offset[entry]
+            key = item * (1 << 36) + (start + (1 << 34)) // self.half[item]
+            bins, which, votes = np.unique(key, return_inverse=True, return_counts=True)
+            next_to = np.diff(bins) == 1
+            both = votes.copy()
+            both[:-1] = np.maximum(both[:-1], votes[:-1] + np.where(next_to, votes[1:], 0))
+            both[1:] = np.maximum(both[1:], votes[1:] + np.where(next_to, votes[:-1], 0))
+            enough = np.flatnonzero((both >= self.need[bins >> 36])[which])
+            if not len(enough):
+                continue
+            doc = np.searchsorted(begin, x[enough], side="right") - 1
+            order = np.lexsort((which[enough], doc))
+            doc, own, start = doc[order], which[enough][order], start[enough][order]
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(own) != 0)]))
+            middle = np.add.reduceat(start, head) // np.diff(np.append(head, len(start)))
+            yield np.stack([doc[head], bins[own[head]] >> 36, middle], axis=1)
+
+
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, max_percent: int = MAX_PERCENT) -> None:
         self.window, self.plan = window, _walks(window)
         self.items: list[tuple[int, bytes]] = []
+        self.grams: list[Grams] = []
         gates, keys, owner, offset = [], [], [], []
         texts = pa.array([t for _, t in items], pa.string())
         for w in words(texts, lower=True, limit=1 << 40):
@@ -167,6 +276,7 @@ class ItemIndex:
                 if hi - lo < 3:
                     continue
                 a, z = int(w.starts[lo]), int(w.ends[hi - 1])
+                text = data[a:z].tobytes()
                 if z - a < MIN_ITEM:
                     continue
                 own = np.append(data[a:z], np.zeros(window + 1, dtype=np.uint8))
@@ -176,8 +286,12 @@ class ItemIndex:
                 keys.append(lsh_keys(own, place[enough], window, self.plan))
                 owner.append(np.full(enough.sum(), len(self.items)))
                 offset.append(place[enough])
-                self.items.append((items[w.lo + i][0], data[a:z].tobytes()))
-        if not self.items:
+                self.items.append((items[w.lo + i][0], text))
+        texts = [t for _, t in self.items]
+        for q in sorted({gram_size(len(t)) for t in texts}):
+            self.grams.append(Grams(texts, [i for i, t in enumerate(texts) if gram_size(len(t)) == q], q, max_percent))
+        self.gate = np.empty(0, dtype=np.uint64)
+        if not gates:
             return
         self.gate = np.unique(np.concatenate(gates))
         self.owner, self.offset = np.concatenate(owner), np.concatenate(offset)
@@ -190,12 +304,16 @@ class ItemIndex:
 
     def candidates(self, w):
         """(document in ``w``, item, where the item should start) without repeats."""
-        gram = _bigrams(w.hashes, w.first)
-        maybe = np.flatnonzero(self.coarse[(gram >> U64(40)).astype(np.int64)])
-        place = np.searchsorted(self.gate, gram[maybe]).clip(max=len(self.gate) - 1)
-        maybe = maybe[self.gate[place] == gram[maybe]]
         data = np.concatenate([_FOLD[w.data], np.zeros(self.window + 1, dtype=np.uint8)])
-        found = []
+        full = np.flatnonzero(np.diff(w.first) > 0)
+        begin = w.starts[w.first[full]]
+        found = [np.stack([full[c[:, 0]], c[:, 1], c[:, 2]], axis=1)[c[:, 0] >= 0] for g in self.grams for c in g.candidates(_FOLD[w.data], begin)] if len(full) else []
+        maybe = np.empty(0, dtype=np.int64)
+        if len(self.gate):
+            gram = _bigrams(w.hashes, w.first)
+            maybe = np.flatnonzero(self.coarse[(gram >> U64(40)).astype(np.int64)])
+            place = np.searchsorted(self.gate, gram[maybe]).clip(max=len(self.gate) - 1)
+            maybe = maybe[self.gate[place] == gram[maybe]]
         for lo in range(0, len(maybe), BATCH):
             word = maybe[lo : lo + BATCH]
             keys = lsh_keys(data, w.starts[word], self.window, self.plan)
@@ -258,7 +376,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_percent: int = MAX_P
     out = None
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
-        index = ItemIndex(sorted((r["item_id"], r["text"]) for r in own), window)
+        index = ItemIndex(sorted((r["item_id"], r["text"]) for r in own), window, max_percent)
         if index.items:
             part = rows.mapInArrow(_links(spark.sparkContext.broadcast(index), max_percent), shape)
             out = part if out is None else out.union(part)
