@@ -313,6 +313,17 @@ def test_decontamination_recall(percent, least):
     assert np.mean([(i, i) in found for i in true]) >= least
 
 
+def test_decontamination_short_items(spark):
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, " ".join(letters(k) for k in (7, 8, 7, 5 + i % 12))) for i in range(60)]
+    items += [(100, "モデルの性能を測るための長い設問文です"), (101, "Qx 17"), (102, "短い問"), (103, letters(60))]
+    rows = [(i, f"{letters(9)} {letters(4)}, {t} {letters(6)} {letters(11)}") for i, t in items]
+    rows += [(100, "前の文。" + items[60][1] + "後の文。"), (102, "前短い問後"), (200, "qx 171 aqx 17"), (201, letters(200))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_fixity(spark):
     rows = [(i, f"http://h/{i}", "é" * (i % 50)) for i in range(600)] + [(7, "http://h/7", "again"), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -18,12 +18,15 @@
    bit-parallel dynamic programming, and links of at most ``max_percent`` of the item's length stay.
 
 Items go to the workers in blocks of at most ``BLOCK_ITEMS``.  Nulls: null or empty texts link with
-nothing; rows with a null ``doc_id`` or ``item_id`` and items of fewer than three words or
-``MIN_ITEM`` bytes are left out.  Repeated ids are told apart by nothing: their links merge.
+nothing; rows with a null ``doc_id`` or ``item_id`` are left out.  Items of fewer than ``MIN_ITEM`` bytes are
+matched exactly, as whole words where their script has spaces; those of fewer than three words go by
+grams alone.  Repeated ids are told apart by nothing: their links merge.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -261,10 +264,20 @@ class Grams:
             yield np.stack([doc[head], bins[own[head]] >> 36, middle], axis=1)
 
 
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def exact_pattern(item: str) -> re.Pattern:
+    """Where a short item stands: as whole words, but anywhere in scripts without spaces."""
+    edge = lambda c, side: side if re.match(r"\w", c) and not _UNSPACED.match(c) else ""
+    return re.compile(edge(item[0], r"(?<!\w)") + re.escape(item) + edge(item[-1], r"(?!\w)"))
+
+
 class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, max_percent: int = MAX_PERCENT) -> None:
         self.window, self.plan = window, _walks(window)
         self.items: list[tuple[int, bytes]] = []
+        self.exact: list[tuple[int, bytes, re.Pattern]] = []
         self.grams: list[Grams] = []
         gates, keys, owner, offset = [], [], [], []
         texts = pa.array([t for _, t in items], pa.string())
@@ -273,11 +286,15 @@ class ItemIndex:
             data = np.concatenate([_FOLD[w.data], np.zeros(window + 1, dtype=np.uint8)])
             for i in range(w.hi - w.lo):
                 lo, hi = int(w.first[i]), int(w.first[i + 1])
-                if hi - lo < 3:
+                if hi == lo:
                     continue
                 a, z = int(w.starts[lo]), int(w.ends[hi - 1])
                 text = data[a:z].tobytes()
                 if z - a < MIN_ITEM:
+                    self.exact.append((items[w.lo + i][0], text, exact_pattern(text.decode())))
+                    continue
+                if hi - lo < 3:
+                    self.items.append((items[w.lo + i][0], text))
                     continue
                 own = np.append(data[a:z], np.zeros(window + 1, dtype=np.uint8))
                 place = w.starts[lo : hi - 1] - a
@@ -342,10 +359,21 @@ def _links(index, max_percent: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "distance", "item_chars"])
 
+        def short(ids, w, data):
+            rows = []
+            for i in np.flatnonzero(np.diff(w.first) > 0).tolist():
+                raw = data[w.starts[w.first[i]] : w.ends[w.first[i + 1] - 1]].tobytes()
+                text = raw.decode()
+                rows += [(ids[w.lo + i], item, 0, len(t)) for item, t, pattern in ix.exact if t in raw and pattern.search(text)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "distance", "item_chars"])
+
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for w in words(batch.column("text"), lower=True):
                 data, found = ix.candidates(w)
+                if ix.exact:
+                    yield from short(ids, w, data)
                 reach: dict[tuple[int, int], int] = {}
                 for doc, item, start in found.tolist():
                     slack, key = len(texts[item]) * max_percent // 100, (doc, item)
@@ -377,7 +405,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_percent: int = MAX_P
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
         index = ItemIndex(sorted((r["item_id"], r["text"]) for r in own), window, max_percent)
-        if index.items:
+        if index.items or index.exact:
             part = rows.mapInArrow(_links(spark.sparkContext.broadcast(index), max_percent), shape)
             out = part if out is None else out.union(part)
     if out is None:
