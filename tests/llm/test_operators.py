@@ -340,6 +340,22 @@ def test_quotes(spark):
     assert got == [(None, 1, "u", None, 1, 1, 0, ""), (1, 0, "u", None, 0, 0, 0, "Hello World\nsecond"), (1, 1, "a", 0, 0, 1, 1, "Yes"), (1, 2, "u", 1, 0, 2, 2, "ok"), (1, 3, "a", None, 3, 1, 0, "end"), (1, 3, "a", None, 3, 1, 0, "end"), (2, 0, "u", None, 0, 0, 0, "")]
 
 
+def test_quoted_passages(spark):
+    rows = [
+        (1, 0, "Hi,\nthe first paragraph is long\nand runs over two lines\n\nBye"),
+        (1, 1, "Hi,\nsomething else\n\nThanks."),
+        (1, 2, "> Hi, the first\n> paragraph is long and runs\n> over two lines\n>\n> Thanks.\nI agree"),  # rewrapped, one short line from elsewhere
+        (1, 3, ">> the first paragraph is long\n> I agree\nso do I"),  # part of a passage: by its line
+        (1, 4, "> Hi,\n> the first paragraph is long\n> and runs over two lines\n> Bye\nlast"),  # blank line lost
+        (2, 0, "one paragraph on a single line"),
+        (2, 1, "> one paragraph\n> on a single\n>  line\n\n"),
+        (2, 2, "> of nobody\n"),
+    ]
+    table = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.n_linked) for r in quotes.link_quotes(table).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (None, 1, 0), (1, 2): (0, 0, 4), (1, 3): (2, 0, 2), (1, 4): (0, 0, 4), (2, 0): (None, 0, 0), (2, 1): (0, 0, 3), (2, 2): (None, 2, 0)}
+
+
 def test_packing(spark, docs, odd):
     pytest.importorskip("public_tokenizers")
     model = encoder(packing.vocabulary())

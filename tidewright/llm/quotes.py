@@ -1,13 +1,16 @@
 """Quotation linking of conversations, in DataFrame functions only.
 
-Each line's quote level is its number of leading ``>`` marks.  A quoted line, normalised (marks and
-outer space off, A-Z lowered, inner space collapsed) and hashed, is linked to the last earlier
-message of its conversation with that line at level 0.  A message replies to the latest message
-that its level-1 lines link to; it belongs to the thread of the first message along these replies.
+Each line's quote level is its number of leading ``>`` marks.  Each run of lines of a level without
+blank lines is a passage; its text is normalised (marks and outer space off, A-Z lowered, white space
+and line breaks collapsed) and hashed.  A quoted passage is linked to the last earlier message of its
+conversation that has it as a passage, a line or its whole text at level 0; where there is none, its
+lines are linked likewise, each by itself.  A message replies to the message that most of its linked
+level-1 text comes from (of equals the latest); it belongs to the thread of the first message along
+these replies.
 Messages come back without quoted lines in order of conversation, thread, turn, so that a reply
 always follows what it quotes.
 
-The link is a running window over (conversation, line hash), not a join, so a line repeated many
+The link is a running window over (conversation, hash), not a join, so a line repeated many
 times makes no pairs; threads are found by pointer doubling, one join of the replies a round.
 Nulls: a null text is empty; rows with null conversation or turn link with nothing.  Repeated rows
 of a turn share their reply.  Blank lines are neither sources nor links.
@@ -40,6 +43,15 @@ def _body(lines: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: x["plain"]), "\n")
 
 
+def _passages(lines: Column) -> Column:
+    """Array of (level, lines) for the runs of equal level between blank lines; ``lines`` is normalised."""
+    blank = lambda i: F.get(lines, i)["plain"] == ""
+    level = lambda i: F.get(lines, i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~blank(i) & ((i == 0) | F.coalesce(blank(i - 1) | (level(i - 1) != level(i)), F.lit(True))))
+    ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: ~blank(i - 1) & ((i == F.size(lines)) | F.coalesce(blank(i) | (level(i - 1) != level(i)), F.lit(True))))
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda r: F.struct(level(r["a"]).alias("level"), F.transform(F.slice(lines, r["a"] + 1, r["z"] - r["a"]), lambda x: x["plain"]).alias("lines")))
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, n_linked, parent_turn) of the turns with at least one linked line."""
     keyed = messages.filter("conv_id is not null and turn is not null and text is not null")
@@ -47,14 +59,25 @@ def replies(messages: DataFrame) -> DataFrame:
     each = keyed.withColumn("lines", _lines(F.col("text")))
     # only conversations in which something is quoted need their lines spread out
     convs = each.filter(quoting).select("conv_id").distinct()
-    spread = each.join(convs, "conv_id", "left_semi").select("conv_id", "turn", F.explode("lines").alias("line"))
-    spread = spread.select("conv_id", "turn", F.col("line.level").alias("level"), _normal(F.col("line.plain")).alias("plain")).filter("plain <> ''")
-    spread = spread.select("conv_id", "turn", "level", F.sha2("plain", 256).alias("hash")).groupBy("conv_id", "turn", "level", "hash").count()
+    own = each.join(convs, "conv_id", "left_semi").withColumn("lines", F.transform("lines", lambda x: F.struct(x["level"].alias("level"), _normal(x["plain"]).alias("plain"))))
+    spread = own.select("conv_id", "turn", F.xxhash64("text").alias("message"), F.col("lines"), F.posexplode(_passages(F.col("lines"))).alias("place", "passage"))
+    spread = spread.select("conv_id", "turn", "message", "place", "passage.level", "passage.lines", F.array_join("passage.lines", " ").alias("joined"))
+    # a passage of one line is that line
+    single = F.when(F.size("lines") > 1, F.col("lines")).otherwise(F.array().cast("array<string>"))
+    unit = F.explode(F.concat(F.array(F.struct(F.col("joined").alias("text"), F.size("lines").alias("n"), F.lit(True).alias("whole"))), F.transform(single, lambda x: F.struct(x.alias("text"), F.lit(1).alias("n"), F.lit(False).alias("whole")))))
+    units = spread.select("conv_id", "turn", "message", "place", "level", unit.alias("unit")).select("conv_id", "turn", "message", "place", "level", "unit.n", "unit.whole", F.length("unit.text").alias("chars"), F.sha2("unit.text", 256).alias("hash"))
+    body = F.array_join(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & (x["plain"] != "")), lambda x: x["plain"]), " ")
+    sources = units.filter("level = 0").select("conv_id", "turn", "hash").union(own.select("conv_id", "turn", F.sha2(body, 256))).distinct()
+    quotes = units.filter("level > 0")
+    both = quotes.unionByName(sources.withColumn("level", F.lit(0)), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     source = F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)
-    linked = spread.withColumn("source", source).filter("level > 0 and source is not null")
-    direct = F.max(F.when(F.col("level") == 1, F.col("source")))
-    return linked.groupBy("conv_id", "turn").agg(F.sum("count").alias("n_linked"), direct.alias("parent_turn"))
+    linked = both.withColumn("source", source).filter("level > 0 and source is not null")
+    passage = Window.partitionBy("conv_id", "turn", "message", "place")
+    linked = linked.withColumn("found", F.max("whole").over(passage)).filter("whole = found")
+    by_source = linked.groupBy("conv_id", "turn", "source").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("chars"))).alias("chars"))
+    direct = F.max(F.when(F.col("chars").isNotNull(), F.struct("chars", "source")))["source"]
+    return by_source.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_linked"), direct.alias("parent_turn"))
 
 
 def threads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
