@@ -176,6 +176,17 @@ def test_language(spark):
     assert language.fit(docs.limit(0))["names"] == [] and language.predict(docs, {"names": []}).first().lang_pred == "und"
 
 
+def test_rare_language_is_learned(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 20, "the of with and thing".split()), "en") for i in range(12_000)]
+    rows += [(20_000 + i, prose(rng, 20, "der die und nicht schön".split()), "de") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, train_rows=50)
+    held = [r for r in rows[12_000:] if language.held_out(r[0])]
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs.filter("doc_id >= 20000"), model).collect()}
+    assert np.mean([got[r[0]] == "de" for r in held]) > 0.9
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 16))

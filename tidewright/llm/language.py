@@ -2,8 +2,8 @@
 
 Features are byte 1-grams and 3-grams of the text with A-Z lowered and other ASCII turned to
 spaces, hashed to ``BUCKETS``.  Embeddings and softmax are trained by stochastic gradient descent in
-numpy on about ``TRAIN_ROWS`` labelled rows (drawn by a hash of ``doc_id`` from the training folds;
-whole texts).  As the average is linear, prediction needs only the product of embeddings and
+numpy on about ``TRAIN_ROWS`` labelled rows, but about ``LEAST_ROWS`` of each language or all it has
+(drawn by a hash of ``doc_id`` from the training folds; whole texts).  As the average is linear, prediction needs only the product of embeddings and
 softmax weights: one lookup per feature.  A temperature and a rejection threshold are fitted on a
 fifth of the sample that training doesn't see; rejected are texts without a letter and those whose
 calibrated probability is below the threshold.
@@ -14,6 +14,7 @@ predicted but not learned from.  A null ``doc_id`` is held out.  Without labelle
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -26,6 +27,8 @@ from .tokens import doc_chunks, text_buffers
 
 BUCKETS, DIM = 1 << 15, 16
 TRAIN_ROWS = 4000
+#: Rows of a rare language, or all it has.
+LEAST_ROWS = 200
 EPOCHS, RATE = 8, 1.0
 TARGET_ACCEPT = 0.999
 REJECT_BELOW = 0.4
@@ -139,7 +142,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     names = sorted(r["lang"] for r in counts)
     if not names:
         return {"names": []}
-    share = min(1 << 20, -(-train_rows * (1 << 20) // total))
+    rows_of = {r["lang"]: max(LEAST_ROWS, train_rows * r["count"] / total) for r in counts}
+    share = {r["lang"]: min(1 << 20, math.ceil(rows_of[r["lang"]] * (1 << 20) / r["count"])) for r in counts}
 
     def extract(batches):
         for batch in batches:
@@ -149,9 +153,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
                 count.append(b.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.binary()), pa.array(count, pa.binary())], ["doc_id", "lang", "ids", "counts"])
 
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).mapInArrow(extract, "doc_id long, lang string, ids binary, counts binary")
-    bound = 2 * train_rows
+    shares = F.create_map(*(F.lit(x) for pair in sorted(share.items()) for x in pair))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang"))).mapInArrow(extract, "doc_id long, lang string, ids binary, counts binary")
+    bound = math.ceil(2 * sum(rows_of.values()))
     got = sorted(drawn.limit(bound).collect(), key=lambda r: (r["doc_id"], r["ids"]))
+    names = sorted({r["lang"] for r in got if len(r["ids"])})  # a language without samples is not learned
     samples = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32), names.index(r["lang"])) for r in got if len(r["ids"])]
     if not samples:
         return {"names": []}
