@@ -5,9 +5,10 @@ import random
 import pytest
 
 from tidewright.operators.apply import InvalidBatch, apply_changes, require_valid
-from tidewright.operators.fold import AmbiguousSequence, fold, fold_ordered
-from tidewright.operators.log import assign_batches
-from tidewright.plans.store import LsnRegression, StaleFence, Store
+from tidewright.operators.fold import AmbiguousSequence, fold, fold_stable, fold_steps
+from tidewright.operators.log import LateRows, assign_batches
+from tidewright.plans.store import Corrupt, LsnRegression, StaleFence, Store
+from tidewright.streaming import mirror
 
 LOG = "seq long, op string, id int, old_id int, payload string, p_payload boolean"
 UNCHANGED = object()
@@ -26,6 +27,20 @@ def events(*steps):
     return out
 
 
+def fold_ordered(rows, keys, data):
+    """``fold_steps`` with the values of the events put back."""
+    rows = sorted(rows, key=lambda r: r["seq"])
+    steps = []
+    for r in rows:
+        new, old = tuple(r[k] for k in keys), tuple(r[f"old_{k}"] for k in keys)
+        steps.append((r["op"], new, None if None in old or old == new else old, [c for c in data if r[f"p_{c}"]]))
+    out = []
+    for op, key, old, cells in fold_steps(steps, data):
+        row = {"op": op} | dict(zip(keys, key)) | {f"old_{k}": v for k, v in zip(keys, old or [None] * len(keys))}
+        out.append(row | {c: rows[cells[c]][c] if c in cells else None for c in data} | {f"p_{c}": c in cells for c in data})
+    return out
+
+
 def short(rows):
     return sorted((r["op"], r["id"], r["old_id"], r["payload"] if r["p_payload"] else "-") for r in rows)
 
@@ -63,6 +78,42 @@ def test_errors():
             fold_ordered(events(*steps), ["id"], ["payload"])
 
 
+@pytest.mark.parametrize("moved", [False, True])
+def test_errors_on_both_paths(spark, moved):
+    extra = [("M", 50, 51)] if moved else []
+    for steps in ([("I", 1, "a"), ("I", 1, "b")], [("I", 1)], [("U", 1, "a"), ("D", 1), ("D", 1)], [("D", 1), ("U", 1, "a")], [("I", 1, "a"), ("D", 1), ("U", 1, "a")], [("U", None, "a")]):
+        rows = events(*steps, *extra)
+        if moved and steps[0][1] is not None:  # a second move brings the faulty key into the ordered fold
+            rows = [{"seq": -1, "op": "U", "id": 1, "old_id": 77, "payload": None, "p_payload": False}, *rows] if steps[0][0] == "U" else rows
+        log = spark.createDataFrame([tuple(r[c] for c in ("seq", "op", "id", "old_id", "payload", "p_payload")) for r in rows], LOG)
+        with pytest.raises(Exception, match="AmbiguousSequence"):
+            fold(log, ["id"], ["payload"]).collect()
+    with pytest.raises(Exception, match="AmbiguousSequence"):
+        fold(spark.createDataFrame([(1, "D", 2, None, None, False), (2, "U", 2, 1, None, False)], LOG), ["id"], ["payload"]).collect()
+
+
+def test_fold_keeps_every_bit(spark):
+    """Keys and values above 2^53, NaN, decimals, binaries, chains and clashing column names."""
+    import decimal
+
+    big = (1 << 53) + 1
+    shape = "seq long, op string, k long, old_k long, _key double, p__key boolean, _group decimal(38,0), p__group boolean, component long, p_component boolean, b binary, p_b boolean"
+    rows = [
+        (1, "U", big + 2, big, float("nan"), True, decimal.Decimal(10**37 + 1), True, (1 << 60) + 1, True, b"\0\xff", True),
+        (2, "U", big + 4, big + 2, None, False, None, True, None, False, None, False),
+        (3, "U", big + 6, None, float("nan"), True, None, False, (1 << 60) + 3, True, None, False),
+        (4, "D", big + 8, None, None, False, None, False, None, False, None, False),
+    ]
+    got = {r["k"]: r for r in fold(spark.createDataFrame(rows, shape), ["k"], ["_key", "_group", "component", "b"]).collect()}
+    assert set(got) == {big + 4, big + 6, big + 8}
+    m = got[big + 4]
+    assert (m["op"], m["old_k"], m["component"], bytes(m["b"])) == ("M", big, (1 << 60) + 1, b"\0\xff") and m["_key"] != m["_key"]
+    assert m["_group"] is None and m["p__group"] and m["p__key"]
+    u = got[big + 6]
+    assert (u["op"], u["component"], u["p_b"]) == ("U", (1 << 60) + 3, False) and u["_key"] != u["_key"]
+    assert got[big + 8]["op"] == "D"
+
+
 def history(rng, start):
     state, steps = dict(start), []
     for n in range(rng.randint(1, 12)):
@@ -136,6 +187,9 @@ def test_store(spark, tmp_path):
     assert [tuple(r) for r in store.read("items").collect()] == [(2, "before")]
     with pytest.raises(LsnRegression):
         store.apply({}, "0", 5, fence)
+    assert store.resume("g", fence, restart={"0": 20}) == {"0": 20}
+    with pytest.raises(LsnRegression):
+        store.resume("g", fence, restart={"0": 21})
     mine, other = store.head(), store.head()
     store.publish(mine)
     with pytest.raises(StaleFence):
@@ -150,14 +204,72 @@ def test_store(spark, tmp_path):
     assert [tuple(r) for r in store.read("items").collect()] == [(7, "x")]
 
 
+def test_store_deltas_against_replay(spark, tmp_path):
+    """Many small batches through deltas and merges give what one dictionary holds."""
+    rng, shape = random.Random(3), "op string, id int, old_id int, _bucket string, p__bucket boolean, n int, p_n boolean"
+    store = Store(spark, f"file://{tmp_path}/store", buckets=3)
+    fence = store.activate_fence("p", 1, 1).fence
+    store.register_group("g", ["t"], {"0": 0}, fence)
+    state = {k: (f"s{k}", k) for k in range(8)}
+    store.load_shadow("g", "t", spark.createDataFrame([(k, *v) for k, v in state.items()], "id int, _bucket string, n int"), ["id"], fence)
+    store.activate_group("g", fence)
+    for lsn in range(1, 12):
+        free = [k for k in range(14) if k not in state]
+        a, b, c, d = rng.sample(sorted(state), 4)
+        rows = [("U", a, None, f"u{lsn}", True, None, False), ("D", b, None, None, False, None, False), ("M", free[0], c, None, False, lsn, True), ("U", free[1], None, None, True, lsn, True), ("U", d, None, None, True, None, False)]
+        state[a], state[d] = (f"u{lsn}", state[a][1]), (None, state[d][1])
+        del state[b]
+        state[free[0]] = (state.pop(c)[0], lsn)
+        state[free[1]] = (None, lsn)
+        store.apply({"t": spark.createDataFrame(rows, shape)}, "0", lsn, fence)
+        if lsn in (1, 5, 7, 8, 11):
+            assert {r["id"]: (r["_bucket"], r["n"]) for r in store.read("t").collect()} == state
+    before = len(store._folders())
+    assert store.collect_garbage(fence, -1, 10) == [] and len(store._folders()) < before
+    assert {r["id"]: (r["_bucket"], r["n"]) for r in store.read("t").collect()} == state
+    m = store.head()
+    m.groups["g"]["tables"] = ["other"]
+    store.publish(m)
+    with pytest.raises(Corrupt):
+        store.resume("g", fence)
+
+
+def test_late_rows_raise_and_replays_do_nothing(spark, tmp_path):
+    shape = "seq long, op string, id int, old_id int, payload string, p_payload boolean"
+    rows = [(n, "U", n % 5, None, f"v{n}", True) for n in range(1, 31)]
+    batch = lambda lo, hi: spark.createDataFrame(rows[lo:hi], shape)
+    store = Store(spark, f"file://{tmp_path}/store", buckets=2)
+    fence = store.activate_fence("p", 1, 1).fence
+    store.register_group("g", ["t"], {"0": 3}, fence)
+    store.load_shadow("g", "t", spark.createDataFrame([(k, "s") for k in range(5)], "id int, payload string"), ["id"], fence)
+    store.activate_group("g", fence)
+    assert mirror.apply_batch(store, "t", "0", batch(0, 10), fence) == "advanced"  # rows up to 3 are in the snapshot
+    assert mirror.apply_batch(store, "t", "0", batch(0, 10), fence) == "unchanged"
+    assert mirror.apply_batch(store, "t", "0", batch(5, 12), fence) == "advanced"
+    assert mirror.apply_batch(store, "t", "0", batch(20, 30), fence) == "advanced"
+    for part in (batch(12, 20), batch(15, 30)):
+        with pytest.raises(LateRows):
+            mirror.apply_batch(store, "t", "0", part, fence)
+    assert {r["id"]: r["payload"] for r in store.read("t").collect()} == {k: f"v{k + 25 if k else 30}" for k in range(5)}
+    late = spark.createDataFrame([(99, "T", None, None, None, False)], shape)
+    with pytest.raises(mirror.SchemaBarrier):
+        mirror.apply_batch(store, "t", "0", late, fence)
+
+
 def test_batches(spark):
     rng = random.Random(1)
     rows = [(n % 3, n, rng.randint(1, 60), rng.randint(1, 900), rng.random() < 0.1) for n in range(400)]
     got = {(r.node_id, r.seq): r.batch for r in assign_batches(spark.createDataFrame(rows, "node_id int, seq long, n_rows long, n_bytes long, barrier boolean"), 100, 2000).collect()}
     for node in range(3):
-        batch, r, b, alone, first = 0, 0, 0, False, True
+        batch, r, b, held, alone = 0, 0, 0, 0, False
         for _, seq, n, size, barrier in sorted(x for x in rows if x[0] == node):
-            if not first and (alone or barrier or r + n > 100 or b + size > 2000):
-                batch, r, b = batch + 1, 0, 0
-            r, b, alone, first = r + n, b + size, barrier, False
+            if held and (alone or barrier or r + n > 100 or b + size > 2000 or held >= 100):
+                batch, r, b, held = batch + 1, 0, 0, 0
+            r, b, held, alone = r + n, b + size, held + 1, barrier
             assert got[node, seq] == batch
+
+
+def test_batches_of_empty_transactions(spark):
+    rows = [(0, n, 0, 0, False) for n in range(5)]
+    got = [r.batch for r in assign_batches(spark.createDataFrame(rows, "node_id int, seq long, n_rows long, n_bytes long, barrier boolean"), 2, 2000).orderBy("seq").collect()]
+    assert got == [0, 0, 1, 1, 2]
