@@ -7,6 +7,7 @@ import pytest
 from tidewright.operators.apply import InvalidBatch, apply_changes, require_valid
 from tidewright.operators.fold import AmbiguousSequence, fold, fold_stable, fold_steps
 from tidewright.operators.log import LateRows, assign_batches
+from tidewright.plans import store as store_module
 from tidewright.plans.store import Corrupt, LsnRegression, StaleFence, Store
 from tidewright.streaming import mirror
 
@@ -204,8 +205,9 @@ def test_store(spark, tmp_path):
     assert [tuple(r) for r in store.read("items").collect()] == [(7, "x")]
 
 
-def test_store_deltas_against_replay(spark, tmp_path):
+def test_store_deltas_against_replay(spark, tmp_path, monkeypatch):
     """Many small batches through deltas and merges give what one dictionary holds."""
+    monkeypatch.setattr(store_module, "MERGE_AFTER", 3)
     rng, shape = random.Random(3), "op string, id int, old_id int, _bucket string, p__bucket boolean, n int, p_n boolean"
     store = Store(spark, f"file://{tmp_path}/store", buckets=3)
     fence = store.activate_fence("p", 1, 1).fence
@@ -213,7 +215,7 @@ def test_store_deltas_against_replay(spark, tmp_path):
     state = {k: (f"s{k}", k) for k in range(8)}
     store.load_shadow("g", "t", spark.createDataFrame([(k, *v) for k, v in state.items()], "id int, _bucket string, n int"), ["id"], fence)
     store.activate_group("g", fence)
-    for lsn in range(1, 12):
+    for lsn in range(1, 6):
         free = [k for k in range(14) if k not in state]
         a, b, c, d = rng.sample(sorted(state), 4)
         rows = [("U", a, None, f"u{lsn}", True, None, False), ("D", b, None, None, False, None, False), ("M", free[0], c, None, False, lsn, True), ("U", free[1], None, None, True, lsn, True), ("U", d, None, None, True, None, False)]
@@ -222,7 +224,7 @@ def test_store_deltas_against_replay(spark, tmp_path):
         state[free[0]] = (state.pop(c)[0], lsn)
         state[free[1]] = (None, lsn)
         store.apply({"t": spark.createDataFrame(rows, shape)}, "0", lsn, fence)
-        if lsn in (1, 5, 7, 8, 11):
+        if lsn in (1, 2, 5):
             assert {r["id"]: (r["_bucket"], r["n"]) for r in store.read("t").collect()} == state
     before = len(store._folders())
     assert store.collect_garbage(fence, -1, 10) == [] and len(store._folders()) < before

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tidewright.functions.types import ContractError, Kind, enum_change, spark_type, typmod
-from tidewright.plans import control
+from tidewright.plans import catalog_queries, control  # noqa: F401
 from tidewright.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -5,9 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from dataclasses import dataclass, field
+import tomllib
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.types import ContractError, Kind, spark_type
+from ..functions.values import uuid7
+from .commits import Commits, StaleVersion
 
 # Phases of a pipeline and the moves between them.
 PHASES = {
@@ -113,29 +119,52 @@ def backoff(attempt: int, initial: float = 1.0, most: float = 60.0) -> float:
 
 @dataclass
 class Control:
-    """Pipelines, leases, operations; the caller serialises access."""
+    """Sources, targets, pipelines with their revisions, leases, operations and audit; one document, changed as a whole."""
 
+    sources: dict = field(default_factory=dict)
+    targets: dict = field(default_factory=dict)
     pipelines: dict = field(default_factory=dict)
+    revisions: list = field(default_factory=list)
     leases: dict = field(default_factory=dict)
     operations: list = field(default_factory=list)
-
-    def upsert(self, name: str, definition: dict, revision: int, generation: int) -> None:
+    audit: list = field(default_factory=list)
+    format: int = 1
+
+    def _note(self, action: str, name: str, now: float) -> None:
+        self.audit.append({"at": now, "action": action, "name": name})
+
+    def put(self, kind: str, name: str, settings: dict, now: float | None = None) -> None:
+        """Add or replace a source or target; secrets are never stored."""
+        if kind not in ("sources", "targets") or not name:
+            raise ContractError(f"{kind} {name!r}")
+        if {"password", "secret", "token"} & {k.lower() for k in settings}:
+            raise ContractError("settings must not hold secrets")
+        getattr(self, kind)[name] = settings
+        self._note(f"put {kind}", name, now or time.time())
+
+    def upsert(self, name: str, definition: dict, revision: int, generation: int, now: float | None = None) -> None:
         old = self.pipelines.get(name)
         if old and not (revision > old["revision"] and generation > old["generation"]):
             raise ContractError("revision and generation must both rise")
-        self.pipelines[name] = {"definition": definition, "revision": revision, "generation": generation, "running": False}
+        self.pipelines[name] = {"definition": definition, "revision": revision, "generation": generation, "running": bool(old and old["running"])}
+        self.revisions.append({"pipeline": name, "revision": revision, "generation": generation, "definition": definition, "at": now or time.time()})
+        self._note("upsert", name, now or time.time())
 
-    def desire(self, name: str, running: bool) -> None:
+    def desire(self, name: str, running: bool, now: float | None = None) -> None:
+        """Whether a pipeline should run; its revision stays."""
         self.pipelines[name]["running"] = running
+        self._note("start" if running else "pause", name, now or time.time())
 
     def request_rebuild(self, name: str, now: float | None = None) -> int:
         p = self.pipelines[name]
         p["generation"] += 1
-        self.operations.append({"pipeline": name, "kind": "rebuild", "generation": p["generation"], "state": "requested", "at": now or time.time()})
+        self.operations.append({"id": uuid7(), "pipeline": name, "kind": "rebuild", "generation": p["generation"], "state": "requested", "at": now or time.time()})
+        self._note("rebuild", name, now or time.time())
         return p["generation"]
 
     def complete_rebuilds(self, name: str, generation: int) -> int:
-        done = [o for o in self.operations if o["pipeline"] == name and o["state"] == "requested" and o["generation"] <= generation]
+        """Finish requested rebuilds up to ``generation``; operations whose generation is no number stay."""
+        done = [o for o in self.operations if o["pipeline"] == name and o["kind"] == "rebuild" and o["state"] == "requested" and type(o["generation"]) is int and o["generation"] <= generation]
         for o in done:
             o["state"] = "completed"
         return len(done)
@@ -159,7 +188,148 @@ class Control:
     def release(self, name: str, holder: str, token: int) -> None:
         lease = self.leases.get(name)
         if lease and (lease["holder"], lease["token"]) == (holder, token):
-            lease["until"] = float("-inf")
+            lease["until"] = 0
+
+    def due_leases(self, holder: str) -> list[str]:
+        """A holder's leases, the nearest deadline first."""
+        return [k for _, k in sorted((v["until"], k) for k, v in self.leases.items() if v["holder"] == holder)]
+
+
+# Document changes by format: each takes the document of the format before it.
+MIGRATIONS = {1: lambda d: d}
+
+
+class ControlStore:
+    """A ``Control`` that outlives the process: every change is one compare-and-swap of its document."""
+
+    ATTEMPTS = 8
+
+    def __init__(self, spark, root: str) -> None:
+        self.spark, self.commits = spark, Commits(spark, f"{root.rstrip('/')}/_control")
+
+    def _load(self) -> tuple[int, Control]:
+        found = self.commits.read()
+        if not found:
+            return 0, Control()
+        version, at = found.pop("version"), found.get("format", 0)
+        if at > max(MIGRATIONS):
+            raise ContractError(f"format {at} is newer than {max(MIGRATIONS)}")
+        for n in range(at + 1, max(MIGRATIONS) + 1):
+            found = MIGRATIONS[n](found) | {"format": n}
+        return version, Control(**found)
+
+    def read(self) -> Control:
+        return self._load()[1]
+
+    def change(self, act):
+        """``act(control)`` on the newest state, written unless it raises; tried again if another writer was first."""
+        for _ in range(self.ATTEMPTS):
+            version, control = self._load()
+            out = act(control)
+            try:
+                self.commits.publish(version + 1, asdict(control) | {"version": version + 1})
+                return out
+            except StaleVersion:
+                continue
+        raise ContractError("too many writers")
+
+    def listing(self, kind: str):
+        """Sources, targets or pipelines by name, or operations, newest first and at most 200, as a DataFrame."""
+        control = self.read()
+        if kind == "operations":
+            rows = [(o["id"], o["pipeline"], o["kind"], o["generation"], o["state"], float(o["at"])) for o in control.operations]
+            return self.spark.createDataFrame(rows, "id string, pipeline string, kind string, generation long, state string, at double").orderBy(F.desc("at"), "id").limit(200)
+        rows = [(name, json.dumps(v, sort_keys=True)) for name, v in getattr(control, kind).items()]
+        return self.spark.createDataFrame(rows, "name string, settings string").orderBy("name")
+
+
+def overview(pipelines: DataFrame, runtime: DataFrame) -> DataFrame:
+    """(name, display_name, phase, received, applied, lag): pipelines with what their runtime last reported; idle where it reports nothing."""
+    joined = pipelines.join(F.broadcast(runtime), "name", "left")  # one row a running pipeline
+    lag = F.when(F.col("received").isNotNull(), F.greatest(F.col("received") - F.col("applied"), F.lit(0)))
+    return joined.select("name", F.coalesce("title", "name").alias("display_name"), F.coalesce("phase", F.lit("idle")).alias("phase"), "received", "applied", lag.alias("lag"))
+
+
+def obsolete(owned: DataFrame, defined: DataFrame) -> DataFrame:
+    """Running pipelines (name, revision, generation) that are no longer defined as they run."""
+    return owned.join(defined, ["name", "revision", "generation"], "left_anti")
+
+
+def relation_states(managed: DataFrame, present: DataFrame) -> DataFrame:
+    """(name, state): managed, managed_object_missing or unmanaged, from what is recorded and what is there."""
+    both = managed.select("name", F.lit(True).alias("m")).join(present.select("name", F.lit(True).alias("p")), "name", "full")
+    return both.select("name", F.when(F.col("m").isNull(), "unmanaged").when(F.col("p").isNull(), "managed_object_missing").otherwise("managed").alias("state"))
+
+
+# ---------------------------------------------------------------- settings
+
+# Keys of the settings documents.
+SETTINGS = {
+    "source": {"include_schemas", "exclude_schemas", "metadata_schema", "max_changes", "retention_s"},
+    "target": {"quarantine_days", "gc_tables"},
+    "pipeline": {"max_rows", "max_bytes", "max_delay_ms", "tables"},
+}
+
+
+def _no_repeats(pairs: list[tuple]) -> dict:
+    if len({k for k, _ in pairs}) != len(pairs):
+        raise ContractError("a key is repeated")
+    return dict(pairs)
+
+
+def decode_settings(kind: str, text: str) -> dict:
+    """Settings from JSON: unknown and repeated keys, wrong types and values out of bounds are refused; limits get their defaults."""
+    try:
+        found = json.loads(text, object_pairs_hook=_no_repeats)
+    except json.JSONDecodeError as e:
+        raise ContractError(f"settings are no JSON: {e}") from e
+    if not isinstance(found, dict) or (unknown := sorted(set(found) - SETTINGS[kind])):
+        raise ContractError(f"unknown settings {unknown if isinstance(found, dict) else found!r}")
+    for name in SETTINGS[kind] & set(LIMITS):
+        if name in found and type(found[name]) is not int:
+            raise ContractError(f"{name} must be a whole number")
+        found[name] = setting(name, found.get(name))
+    for name in ("include_schemas", "exclude_schemas"):
+        if not all(isinstance(x, str) and x for x in found.get(name, [])):
+            raise ContractError(f"{name} must list names")
+    if tables := found.get("tables"):
+        check_mapping(tables)
+    return found
+
+
+def check_mapping(tables: dict[str, str]) -> None:
+    """Explicit table names must be a bijection of valid identifiers."""
+    if len(set(tables.values())) != len(tables):
+        raise ContractError("two sources share a target")
+    for name in [*tables, *tables.values()]:
+        parts = name.split(".")
+        if len(parts) != 2 or not all(0 < len(p.encode()) <= 63 and "\0" not in p for p in parts):
+            raise ContractError(f"{name!r} is no qualified name")
+
+
+# Sections and keys of the bootstrap file, with defaults where they have one.
+BOOTSTRAP = {"store": {"root": None}, "engine": {"poll_seconds": 2, "lease_seconds": 30, "renew_seconds": 10, "backoff_seconds": 1, "backoff_most_seconds": 60, "backoff_reset_seconds": 300}, "server": {"listen": "127.0.0.1:8080"}}
+
+
+def bootstrap(text: str) -> dict[str, dict]:
+    """Bootstrap configuration from TOML; unknown names are refused, and renewal takes at most a third of a lease."""
+    try:
+        found = tomllib.loads(text)
+    except tomllib.TOMLDecodeError as e:
+        raise ContractError(f"bootstrap is no TOML: {e}") from e
+    out = {}
+    for section, names in BOOTSTRAP.items():
+        own = found.pop(section, {})
+        if unknown := sorted(set(own) - set(names)):
+            raise ContractError(f"unknown names in [{section}]: {unknown}")
+        out[section] = names | own
+        if missing := sorted(k for k, v in out[section].items() if v is None):
+            raise ContractError(f"[{section}] lacks {missing}")
+    if found:
+        raise ContractError(f"unknown sections {sorted(found)}")
+    if 3 * out["engine"]["renew_seconds"] > out["engine"]["lease_seconds"]:
+        raise ContractError("renewal must take at most a third of the lease")
+    return out
 
 
 def metrics_text(pipelines: dict[str, dict]) -> str:

@@ -12,6 +12,7 @@ from ..operators import reconcile as R
 from ..operators.apply import apply_changes, validate
 from ..operators.fold import fold, fold_stable, illegal_steps
 from ..sources import wire as W
+from ..sources.catalog import retention
 from ..sources.tables import ADDED, MOVED, orders_log, orders_snapshot, table
 from ..streaming import mirror
 from .control import Column, Table, admit
@@ -93,6 +94,29 @@ def fold_stable_keys(spark, sf_dir):
     return fold_stable(orders_log(spark, sf_dir, moves=False), KEYS, DATA).drop("old_o_orderkey")
 
 
+_BIG = 1 << 53
+
+
+@query(f"""WITH base AS (SELECT o_orderkey + {_BIG} AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderkey % 3 AS r FROM orders)
+SELECT 'M' AS op, k * 4 + 2 AS k, k * 4 AS old_k, {_BIG} + k AS big, price FROM base WHERE r = 0
+UNION ALL SELECT 'U', k * 4, NULL, {_BIG} + k + 2, price FROM base WHERE r = 1
+UNION ALL SELECT 'D', k * 4, NULL, NULL, NULL FROM base WHERE r = 2""")
+def fold_wide_keys(spark, sf_dir):
+    """Keys and values above 2^53: chains of two moves, changes with a null between, moves that end in a delete."""
+    base = orders_snapshot(spark, sf_dir).select((F.col("o_orderkey") + _BIG).alias("k"), "price", (F.col("o_orderkey") % 3).alias("r"))
+    k, big = F.col("k") * 4, F.col("k") + _BIG
+
+    def event(n, op, key=k, old=None, value=None, price=None):
+        cell = lambda c, t: F.lit(None).cast(t) if c is None else c.cast(t)
+        return F.struct((k * 4 + n).alias("seq"), F.lit(op).alias("op"), key.alias("k"), cell(old, "bigint").alias("old_k"), cell(value, "bigint").alias("big"), cell(price, "decimal(18,2)").alias("price"), F.lit(value is not None).alias("p_big"), F.lit(price is not None).alias("p_price"))
+
+    chain = F.array(event(0, "U", k + 1, k, big), event(1, "U", k + 1, None, None, F.col("price")), event(2, "U", k + 2, k + 1))
+    plain = F.array(event(0, "U", value=big, price=F.col("price") + 1), event(1, "U", value=F.lit(None).cast("bigint")), event(2, "U", value=big + 2, price=F.col("price")))
+    dead = F.array(event(0, "U", k + 1, k), event(1, "D", k + 1))
+    log = base.select(F.explode(F.when(F.col("r") == 0, chain).when(F.col("r") == 1, plain).otherwise(dead)).alias("e")).select("e.*")
+    return fold(log, ["k"], ["big", "price"]).select("op", "k", "old_k", "big", "price")
+
+
 @query(f"{_STABLE} SELECT op, count(*) AS n_rows, CAST(sum(CASE WHEN p_price THEN 1 ELSE 0 END) AS BIGINT) AS n_price FROM staging GROUP BY op")
 def fold_ops_summary(spark, sf_dir):
     staging = fold_stable(orders_log(spark, sf_dir, moves=False), KEYS, DATA)
@@ -203,7 +227,15 @@ def assemble_committed_only(spark, sf_dir):
     return G.committed(log).select("xid", "lsn", "user_id", "end_lsn")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (
+  SELECT user_id % 8 AS node_id, event_id AS seq, 1 + user_id % 50 AS n_rows, CAST(round(100 + value) AS BIGINT) AS n_bytes, event_type = 'error' AND value > 90 AS barrier,
+         row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events
+), b AS (
+  SELECT node_id, seq, n_rows, n_bytes, barrier, i, CAST(0 AS BIGINT) AS batch, n_rows AS r, n_bytes AS z, 1 AS held FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.node_id, t.seq, t.n_rows, t.n_bytes, t.barrier, t.i, b.batch + CAST(cut AS BIGINT), CASE WHEN cut THEN t.n_rows ELSE b.r + t.n_rows END, CASE WHEN cut THEN t.n_bytes ELSE b.z + t.n_bytes END, CASE WHEN cut THEN 1 ELSE b.held + 1 END
+  FROM b JOIN t ON t.node_id = b.node_id AND t.i = b.i + 1, LATERAL (SELECT b.barrier OR t.barrier OR b.r + t.n_rows > 200 OR b.z + t.n_bytes > 20000 OR b.held >= 200 AS cut)
+) SELECT node_id, seq, n_rows, n_bytes, barrier, batch FROM b""")
 def batch_assignment_greedy(spark, sf_dir):
     """Batches of all events, as the limits on rows and bytes and the barriers cut them."""
     e = table(spark, sf_dir, "events")
@@ -265,8 +297,7 @@ def checkpoint_advance_outcome(spark, sf_dir):
 def retention_classifier(spark, sf_dir):
     """Retained bytes against limits of 200 and 400; a lost or unknown slot status fails closed."""
     status, kept = F.when(F.col("p_size") % 7 == 0, "lost").otherwise("reserved"), F.col("p_size") * 10
-    state = F.when(~status.isin("reserved", "extended"), "rebuild").when(kept >= 400, "rebuild").when(kept >= 200, "warning").otherwise("healthy")
-    return table(spark, sf_dir, "part").select("p_partkey", state.alias("state"))
+    return table(spark, sf_dir, "part").select("p_partkey", retention(status, kept, 200, 400).alias("state"))
 
 
 # ---------------------------------------------------------------- reconciliation
@@ -414,18 +445,25 @@ def copy_text_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.copy_decode(X.copy_encode(F.col("text"))).alias("text"))
 
 
+STREAM_FILES = 6
+
+
 @query(_MOVE_STATE)
 def stream_mirror_available_now(spark, sf_dir):
-    """Snapshot load into the store, then the log streamed through fold, apply and commit."""
+    """Snapshot load into the store, then the log streamed in order, one file a micro-batch, through fold, apply and commit."""
     where = fresh_path(spark, "mirror")
     log = orders_log(spark, sf_dir)
-    log.write.parquet(f"{where}/log")
-    store = Store(spark, f"{where}/store", buckets=8)
+    cuts = log.approxQuantile("seq", [i / STREAM_FILES for i in range(1, STREAM_FILES)], 0.01)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):  # files reach the stream in the order of their times
+        part = log if lo is None else log.filter(F.col("seq") > int(lo))
+        part = part if hi is None else part.filter(F.col("seq") <= int(hi))
+        part.coalesce(1).write.mode("append").parquet(f"{where}/log")
+    store = Store(spark, f"{where}/store")
     fence = store.activate_fence("orders", 1, 1).fence
     store.register_group("g1", ["orders"], {"0": 0}, fence)
     store.load_shadow("g1", "orders", orders_snapshot(spark, sf_dir), KEYS, fence)
     store.activate_group("g1", fence)
-    q = mirror.start(spark, f"{where}/log", log.schema, store, "orders", "0", f"{where}/offsets", fence, {"availableNow": True}, 1000)
+    q = mirror.start(spark, f"{where}/log", log.schema, store, "orders", "0", f"{where}/offsets", fence, {"availableNow": True}, 1)
     q.awaitTermination()
     return store.read("orders").select(*KEYS, *DATA)
 
