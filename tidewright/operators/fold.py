@@ -190,15 +190,14 @@ def _fold_groups(keys: list[str], data: list[str], shape: pa.Schema, group: str)
 
 def key_sets(moves: DataFrame) -> DataFrame:
     """(node, component) of the keys in moves (a, b): a move that shares no key with another is a set of its own."""
-    ends = moves.select(F.col("a").alias("node")).unionAll(moves.select(F.col("b").alias("node")))
+    ends = moves.select(F.explode(F.array("a", "b")).alias("node"))
     shared = ends.groupBy("node").count().filter("count > 1").select("node")
-    chained = materialize(moves.select("a", "b", F.monotonically_increasing_id().alias("n")), "moves")
-    touch = chained.join(shared, F.col("a") == F.col("node"), "left_semi").select("n").union(chained.join(shared, F.col("b") == F.col("node"), "left_semi").select("n")).distinct()
-    touch = materialize(touch, "chained")
-    simple = chained.join(touch, "n", "left_anti").select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component"))
-    if touch.isEmpty():
-        return simple
-    return simple.union(components(chained.join(touch, "n", "left_semi").select("a", "b")))
+    own = lambda m: m.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component"))
+    if shared.isEmpty():
+        return own(moves)
+    shared = materialize(shared, "shared")
+    simple = moves.join(shared, F.col("a") == F.col("node"), "left_anti").join(shared, F.col("b") == F.col("node"), "left_anti")
+    return own(simple).union(components(moves.join(simple, ["a", "b"], "left_anti")))
 
 
 def fold(log: DataFrame, keys: list[str], data: list[str]) -> DataFrame:
@@ -210,7 +209,7 @@ def fold(log: DataFrame, keys: list[str], data: list[str]) -> DataFrame:
     if moves.isEmpty():
         return fold_stable(log, keys, data)
     key, group, task, node = (unused(n, log.columns) for n in ("_key", "_group", "_task", "_node"))
-    links = materialize(key_sets(moves).select(F.col("node").alias(node), F.col("component").alias(group)), "links")
+    links = key_sets(moves).select(F.col("node").alias(node), F.col("component").alias(group))
     marked = log.withColumn(key, F.when(F.col("op") == "I", new).otherwise(F.when(_moved(keys), old).otherwise(new)))
     marked = marked.join(links, F.col(key) == F.col(node), "left").drop(key, node)
     stable = fold_stable(marked.filter(F.col(group).isNull()).drop(group), keys, data)

@@ -445,7 +445,7 @@ def copy_text_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.copy_decode(X.copy_encode(F.col("text"))).alias("text"))
 
 
-STREAM_FILES = 6
+STREAM_FILES = 5
 
 
 @query(_MOVE_STATE)
