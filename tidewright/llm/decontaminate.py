@@ -1,26 +1,24 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-1. Texts and items have A-Z lowered and white space turned to blanks.  Windows of up to ``WINDOW``
-   bytes start at words; an item has one at each of its words with enough text left, so a damaged
-   part of an item spoils only the windows over it.  A document's windows are hashed where their
-   first two words begin some item window.
-2. The CGK random walk turns a window into a longer string whose Hamming distance to another's
-   reflects their edit distance: at step j it emits the current byte and moves on by a random bit
-   drawn for (j, byte).  Each of ``WALKS`` walks has ``TABLES`` hash tables, each over ``SAMPLE``
-   sampled steps; windows that agree in any table are candidates.
-3. What these tables may miss (damaged word pairs, short items, edits near ``max_percent``, text without
-   spaces) is sought by byte grams: every place of a document whose gram is one of an item's votes for
-   (item, place - offset), and a band of neighbouring places with enough votes is a candidate.  Gram
-   length follows the item's length; the least number of votes is the one that simulated copies with
-   random edits up to ``max_percent`` of the item's bytes reach with probability ``TARGET``.
-4. A candidate names an item and where it should lie in the document.  The edit distance of the
-   whole item to its best place in that item-sized window (with slack) is computed exactly by
-   bit-parallel dynamic programming, and links of at most ``max_percent`` of the item's length stay.
-
-Items go to the workers in blocks of at most ``BLOCK_ITEMS``.  Nulls: null or empty texts link with
-nothing; rows with a null ``doc_id`` or ``item_id`` are left out.  Items of fewer than ``MIN_ITEM`` bytes are
-matched exactly, as whole words where their script has spaces; those of fewer than three words go by
-grams alone.  Repeated ids are told apart by nothing: their links merge.
+1. Texts and items have A-Z lowered and white space turned to blanks.
+2. The CGK random walk turns a string into a longer one whose Hamming distance to another's reflects
+   their edit distance: at step j it emits the current byte and moves on by a random bit drawn for
+   (j, byte).  A walk starts at every byte of a document and of an item.
+3. Bit sampling: each of ``WALKS`` walks keeps a fixed random part of its steps; the first ``samples``
+   of them are the key of a place in that walk's table.  A place of a document whose key is that of a
+   place of an item votes for an item-sized window: (item, place in the document - place in the item).
+4. A window with enough votes from all walks, in a band of neighbouring places, is a candidate.  Key
+   length and votes needed come from the recall wanted (``plan``): for each class of item lengths,
+   ``TARGET`` of simulated copies with random edits of ``max_percent`` of their bytes, embedded by the
+   same walks, reach them.
+5. The edit distance of the whole item to its best place in that window (with slack) is computed
+   exactly by bit-parallel dynamic programming, and links of at most ``max_percent`` of the item's
+   length stay.
+
+Documents are read once for each block of at most ``BLOCK_BYTES`` of item texts.  Nulls: null or empty
+texts link with nothing; rows with a null ``doc_id`` or ``item_id`` are left out.  In items of fewer than
+``MIN_ITEM`` bytes an edit changes what is asked, so they are matched exactly: as whole words where
+their script has spaces.  Repeated ids are told apart by nothing: their links merge.
 """
 
 from __future__ import annotations
@@ -32,54 +30,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import U64, mix, words
+from .tokens import U64, words
 
-WINDOW, MIN_ITEM = 64, 24
-WALKS, TABLES, SAMPLE = 3, 6, 8
+MIN_ITEM = 24
 MAX_PERCENT = 25
-#: Bytes of a gram for items from so many bytes on; votes reached by this share of copies at the most edits.
-GRAMS, TARGET, TRIALS = ((0, 3), (40, 4), (64, 6), (128, 7), (200, 8)), 0.95, 300
-SLICE, GRAM_BITS = 1 << 20, 22
-BLOCK_ITEMS = 20_000
-BATCH = 1 << 18
+WALKS, SAMPLED = 2, 0.6
+#: Key lengths to choose from, the votes a key length must leave, and the share of copies at the most edits that reach them.
+SAMPLES, VOTES, TARGET, TRIALS = (5, 8, 12, 16, 20), 6, 0.985, 300
+SLICE, PLACES = 1 << 20, 1 << 14
+BLOCK_BYTES = 2 << 20
 LANES, MOST_BLOCKS, HELD_BYTES = 8192, 16, 1 << 24
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
+_MULTIPLY = U64(0x9E3779B97F4A7C15)
 
 
-def _walks(window: int):
-    """Moves (walk, step, byte) and sampled steps (walk, table, sample)."""
-    rng = np.random.default_rng(11)
-    steps = 3 * window // 2
-    moves = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.int32)
-    picks = np.stack([[np.sort(rng.choice(steps, SAMPLE, replace=False)) for _ in range(TABLES)] for _ in range(WALKS)])
-    return moves, picks
-
-
-def embed(data: np.ndarray, starts: np.ndarray, window: int, moves: np.ndarray) -> np.ndarray:
-    """CGK strings of the windows at ``starts``: (step, window) bytes; ``data`` is padded at its end."""
-    out = np.empty((len(moves), len(starts)), dtype=np.uint8)
-    at, stop = starts.astype(np.int64), starts + window
-    for j, move in enumerate(moves):
-        c = data[at]
-        out[j] = c
-        at = np.minimum(at + move[c], stop)
+def _walks(samples: int) -> list[tuple[np.ndarray, list[bool]]]:
+    """For each walk a word for each byte (the byte, and above it a move for each step), and which steps are sampled."""
+    out = []
+    for w in range(WALKS):
+        rng = np.random.default_rng([11, w])
+        moves = rng.integers(0, 1 << 56, 256, dtype=np.uint64)
+        steps = [True]
+        while sum(steps) < samples:
+            steps.append(bool(rng.random() < SAMPLED))
+        if len(steps) > 56:
+            raise ValueError("a walk has at most 56 steps")
+        out.append((moves << U64(8) | np.arange(256, dtype=np.uint64), steps))
     return out
 
 
-def lsh_keys(data: np.ndarray, starts: np.ndarray, window: int, plan) -> np.ndarray:
-    """64-bit keys (table, window)."""
-    moves, picks = plan
-    keys = np.empty((WALKS * TABLES, len(starts)), dtype=np.uint64)
-    for w in range(WALKS):
-        text = embed(data, starts, window, moves[w])
-        for t in range(TABLES):
-            packed = np.zeros(len(starts), dtype=np.uint64)
-            for step in picks[w, t]:
-                packed = packed << U64(8) | text[step].astype(np.uint64)
-            keys[w * TABLES + t] = mix(packed + U64((w * TABLES + t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return keys
+def keys(data: np.ndarray, places: int, walk: tuple[np.ndarray, list[bool]], wanted: set[int]):
+    """(samples, key of each of the first ``places``) of one walk over ``data``, for each wanted number of samples.
+
+    The end of ``data`` is followed by bytes 0.
+    """
+    words_of, steps = walk
+    word = words_of[np.concatenate([data, np.zeros(max(0, places + len(steps) - len(data)), np.uint8)])]
+    at, here, key, byte = np.arange(places), np.empty(places, np.uint64), np.zeros(places, np.uint64), np.empty(places, np.uint64)
+    taken = 0
+    for j, sampled in enumerate(steps):
+        np.take(word, at, out=here, mode="clip")
+        if sampled:
+            np.bitwise_and(here, U64(255), out=byte)
+            key ^= byte
+            key *= _MULTIPLY
+            taken += 1
+            if taken in wanted:
+                yield taken, key
+        here >>= U64(8 + j)
+        here &= U64(1)
+        at += here.view(np.int64)
 
 
 def best_distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -155,113 +157,116 @@ def distances(items: list[bytes], which: np.ndarray, texts: list[bytes]) -> np.n
     return out
 
 
-def _bigrams(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next one of its document; 0 for a document's last."""
-    out = np.zeros(len(hashes), dtype=np.uint64)
-    if len(hashes) > 1:
-        out[:-1] = mix(hashes[:-1] * U64(0x9FB21C651E98DF25) + hashes[1:])
-    out[first[1:][np.diff(first) > 0] - 1] = 0
-    return out
-
-
-def gram_size(m: int) -> int:
-    return next(q for least, q in reversed(GRAMS) if m >= least)
-
-
 def band(m: int) -> int:
     """Half the width of a band of places."""
     return max(16, m // 16)
 
 
-def votes_needed(m: int, percent: int, target: float = TARGET) -> int:
-    """Votes of one band that ``target`` of the copies of an item of ``m`` bytes reach, edited at random."""
-    rng, q, half = np.random.default_rng([13, m]), gram_size(m), band(m)
-    reached = []
-    for _ in range(TRIALS):
-        copy = list(range(m))
-        for kind in rng.integers(0, 3, m * percent // 100):
-            at = int(rng.integers(0, len(copy)))
-            copy[at : at + (kind != 1)] = [-1] if kind != 2 else []
-        own = np.array(copy)
-        x = np.arange(max(0, len(own) - q + 1))
-        whole = own[x] >= 0
-        for j in range(1, q):
-            whole &= own[x + j] == own[x] + j
-        count = np.bincount((x - own[x])[whole] // half + m // half + 2, minlength=2)
-        reached.append((count[1:] + count[:-1]).max())
-    return max(1, int(np.quantile(reached, 1 - target, method="lower")))
-
-
-def _grams(data: np.ndarray, q: int) -> np.ndarray:
-    """Each run of ``q`` bytes as a number."""
-    n = max(0, len(data) - q + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(q):
-        out = out << U64(8) | data[j : n + j]
-    return out
-
-
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams * U64(0x9E3779B97F4A7C15) >> U64(64 - GRAM_BITS)).astype(np.int64)
+def _length_class(m: int) -> int:
+    return min(m // 8 * 8 if m < 64 else m // 16 * 16 if m < 128 else m // 32 * 32, 512)
 
 
 def _ranges(a: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)
 
 
-class Grams:
-    """The grams of ``q`` bytes of the items ``which``."""
-
-    def __init__(self, items: list[bytes], which: list[int], q: int, percent: int) -> None:
-        self.q, self.longest = q, max(len(items[i]) for i in which)
-        need: dict[int, int] = {}
-        self.need, self.half = np.zeros(len(items), dtype=np.int64), np.ones(len(items), dtype=np.int64)
-        for i in which:
-            m = len(items[i])
-            m = min(m if m < 64 else m // 16 * 16, 512)
-            self.need[i] = need.setdefault(m, need.get(m) or votes_needed(m, percent))
-            self.half[i] = band(len(items[i]))
-        grams = [_grams(np.frombuffer(items[i], np.uint8), q) for i in which]
-        owner, offset = np.repeat(which, [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
-        grams = np.concatenate(grams)
-        order = np.argsort(grams, kind="stable")
-        self.owner, self.offset = owner[order], offset[order]
-        self.grams, first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
-        self.first = first
-        self.coarse = np.zeros(1 << GRAM_BITS, dtype=bool)
-        self.coarse[_slot(self.grams)] = True
-
-    def candidates(self, data: np.ndarray, begin: np.ndarray):
-        """(document, item, place) of the bands of ``data`` with enough votes; documents start at ``begin``."""
-        for lo in range(0, len(data), SLICE):
-            part = data[max(0, lo - 2 * self.longest) : lo + SLICE]
-            base = max(0, lo - 2 * self.longest)
-            grams = _grams(part, self.q)
-            at = np.flatnonzero(self.coarse[_slot(grams)])
-            place = np.searchsorted(self.grams, grams[at]).clip(max=len(self.grams) - 1)
-            good = self.grams[place] == grams[at]
-            at, place = at[good], place[good]
-            if not len(at):
-                continue
-            entry = _ranges(self.first[place], self.count[place])
-            x = np.repeat(at + base, self.count[place])
-            item = self.owner[entry]
-            start = x - self.offset[entry]
-            key = item * (1 << 36) + (start + (1 << 34)) // self.half[item]
-            bins, which, votes = np.unique(key, return_inverse=True, return_counts=True)
-            next_to = np.diff(bins) == 1
-            both = votes.copy()
-            both[:-1] = np.maximum(both[:-1], votes[:-1] + np.where(next_to, votes[1:], 0))
-            both[1:] = np.maximum(both[1:], votes[1:] + np.where(next_to, votes[:-1], 0))
-            enough = np.flatnonzero((both >= self.need[bins >> 36])[which])
-            if not len(enough):
-                continue
-            doc = np.searchsorted(begin, x[enough], side="right") - 1
-            order = np.lexsort((which[enough], doc))
-            doc, own, start = doc[order], which[enough][order], start[enough][order]
-            head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(own) != 0)]))
-            middle = np.add.reduceat(start, head) // np.diff(np.append(head, len(start)))
-            yield np.stack([doc[head], bins[own[head]] >> 36, middle], axis=1)
+def _slot(key: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    return (key >> U64(65 - len(coarse).bit_length())).astype(np.int64)
+
+
+class Tables:
+    """Hash tables of all places of items, a table for each walk and number of samples."""
+
+    def __init__(self, items: list[bytes], samples: list[int]) -> None:
+        self.sizes = np.array([len(t) for t in items], dtype=np.int64)
+        self.half = np.array([band(m) for m in self.sizes], dtype=np.int64)
+        self.longest = int(self.sizes.max(initial=1))
+        self.wanted = set(samples)
+        self.walks = _walks(max(self.wanted))
+        self.tables: list[dict] = []
+        for walk in self.walks:
+            own: dict[int, list] = {k: [] for k in self.wanted}
+            for i, t in enumerate(items):
+                k = samples[i]
+                found = next(key for _, key in keys(np.frombuffer(t, np.uint8), len(t), walk, {k}))
+                own[k].append((found.copy(), np.full(len(t), i, np.int32), np.arange(len(t), dtype=np.int32)))
+            self.tables.append({k: self._table(rows) for k, rows in own.items()})
+
+    @staticmethod
+    def _table(rows: list) -> tuple:
+        key, owner, offset = (np.concatenate(c) for c in zip(*rows))
+        order = np.argsort(key, kind="stable")
+        distinct, first, count = np.unique(key[order], return_index=True, return_counts=True)
+        coarse = np.zeros(1 << min(24, max(12, len(distinct).bit_length() + 4)), dtype=bool)
+        coarse[_slot(distinct, coarse)] = True
+        return distinct, first.astype(np.int32), count.astype(np.int32), owner[order], offset[order], coarse
+
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``data``, item, place of the item's start) of every equal key."""
+        out = [(np.empty(0, np.int64),) * 3]
+        for lo in range(0, len(data), PLACES):
+            part, n = data[lo : lo + PLACES + 56], min(PLACES, len(data) - lo)
+            for walk, tables in zip(self.walks, self.tables):
+                for k, key in keys(part, n, walk, self.wanted):
+                    distinct, first, count, owner, offset, coarse = tables[k]
+                    at = np.flatnonzero(coarse[_slot(key, coarse)])
+                    place = np.searchsorted(distinct, key[at]).clip(max=len(distinct) - 1)
+                    good = distinct[place] == key[at]
+                    at, place = at[good], place[good]
+                    entry = _ranges(first[place].astype(np.int64), count[place].astype(np.int64))
+                    x = np.repeat(at, count[place]) + lo
+                    out.append((x, owner[entry].astype(np.int64), x - offset[entry]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def votes(self, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bands, band of each hit, votes of each band with the better of its neighbours)."""
+        bins, which, votes = np.unique(item * (1 << 36) + (start + (1 << 34)) // self.half[item], return_inverse=True, return_counts=True)
+        return bins, which, _with_neighbours(bins, votes)
+
+
+def _with_neighbours(bins: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    next_to = np.diff(bins) == 1
+    both = votes.copy()
+    both[:-1] = np.maximum(both[:-1], votes[:-1] + np.where(next_to, votes[1:], 0))
+    both[1:] = np.maximum(both[1:], votes[1:] + np.where(next_to, votes[:-1], 0))
+    return both
+
+
+def damaged(rng: np.random.Generator, item: bytes, edits: int) -> bytes:
+    """A copy with so many random insertions, deletions and replacements."""
+    copy = bytearray(item)
+    for kind in rng.integers(0, 3, edits):
+        at = int(rng.integers(0, len(copy) + 1))
+        copy[at : at + (kind != 1)] = [int(rng.integers(97, 123))] if kind != 2 else []
+    return bytes(copy)
+
+
+def plan(items: list[bytes], percent: int, target: float = TARGET) -> tuple[int, int]:
+    """(samples of a key, votes needed) for items of one length class.
+
+    Copies are damaged at ``percent`` and embedded like documents; of the key lengths at which ``target`` of them
+    reach ``VOTES`` votes in one band the longest is taken, as it meets least by chance, or else the shortest.
+    """
+    rng = np.random.default_rng([13, len(items[0])])
+    own = [items[i] for i in rng.permutation(len(items))[:TRIALS]]
+    reached = {k: [] for k in SAMPLES}
+    walks = _walks(max(SAMPLES))
+    known = [[dict((k, key.copy()) for k, key in keys(np.frombuffer(t, np.uint8), len(t), walk, set(SAMPLES))) for walk in walks] for t in own]
+    for n in range(TRIALS):
+        item, half = own[n % len(own)], band(len(own[n % len(own)]))
+        copy = np.frombuffer(damaged(rng, item, len(item) * percent // 100), np.uint8)
+        shift = int(rng.integers(0, 1 << 20))  # bands lie anywhere in a document
+        bands: dict[int, list] = {k: [] for k in SAMPLES}
+        for w, walk in enumerate(walks):
+            for k, key in keys(copy, len(copy), walk, set(SAMPLES)):
+                x, i = np.nonzero(key[:, None] == known[n % len(own)][w][k][None, :])
+                bands[k].append((x - i + shift) // half)
+        for k, found in bands.items():
+            bins, votes = np.unique(np.concatenate(found), return_counts=True)
+            reached[k].append(int(_with_neighbours(bins, votes).max(initial=0)))
+    votes = {k: int(np.quantile(r, 1 - target, method="lower")) for k, r in reached.items()}
+    best = max((k for k in SAMPLES if votes[k] >= VOTES), default=min(SAMPLES))
+    return best, max(1, votes[best])
 
 
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -274,74 +279,52 @@ def exact_pattern(item: str) -> re.Pattern:
 
 
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, max_percent: int = MAX_PERCENT) -> None:
-        self.window, self.plan = window, _walks(window)
+    """Items of fewer than ``MIN_ITEM`` bytes as patterns, all others in hash tables with the votes that each needs."""
+
+    def __init__(self, items: list[tuple[int, str]], max_percent: int = MAX_PERCENT) -> None:
         self.items: list[tuple[int, bytes]] = []
         self.exact: list[tuple[int, bytes, re.Pattern]] = []
-        self.grams: list[Grams] = []
-        gates, keys, owner, offset = [], [], [], []
-        texts = pa.array([t for _, t in items], pa.string())
-        for w in words(texts, lower=True, limit=1 << 40):
-            gram = _bigrams(w.hashes, w.first)
-            data = np.concatenate([_FOLD[w.data], np.zeros(window + 1, dtype=np.uint8)])
+        for w in words(pa.array([t for _, t in items], pa.string()), lower=True, limit=1 << 40):
+            data = _FOLD[w.data]
             for i in range(w.hi - w.lo):
                 lo, hi = int(w.first[i]), int(w.first[i + 1])
-                if hi == lo:
-                    continue
-                a, z = int(w.starts[lo]), int(w.ends[hi - 1])
-                text = data[a:z].tobytes()
-                if z - a < MIN_ITEM:
-                    self.exact.append((items[w.lo + i][0], text, exact_pattern(text.decode())))
-                    continue
-                if hi - lo < 3:
-                    self.items.append((items[w.lo + i][0], text))
-                    continue
-                own = np.append(data[a:z], np.zeros(window + 1, dtype=np.uint8))
-                place = w.starts[lo : hi - 1] - a
-                enough = (place + window <= z - a) | (place == 0)
-                gates.append(gram[lo : hi - 1][enough])
-                keys.append(lsh_keys(own, place[enough], window, self.plan))
-                owner.append(np.full(enough.sum(), len(self.items)))
-                offset.append(place[enough])
-                self.items.append((items[w.lo + i][0], text))
-        texts = [t for _, t in self.items]
-        for q in sorted({gram_size(len(t)) for t in texts}):
-            self.grams.append(Grams(texts, [i for i, t in enumerate(texts) if gram_size(len(t)) == q], q, max_percent))
-        self.gate = np.empty(0, dtype=np.uint64)
-        if not gates:
-            return
-        self.gate = np.unique(np.concatenate(gates))
-        self.owner, self.offset = np.concatenate(owner), np.concatenate(offset)
-        keys = np.concatenate(keys, axis=1)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
-        top = (self.gate >> U64(40)).astype(np.int64)
-        self.coarse = np.zeros(1 << 24, dtype=bool)
-        self.coarse[top] = True
+                if hi > lo:
+                    text, name = data[int(w.starts[lo]) : int(w.ends[hi - 1])].tobytes(), items[w.lo + i][0]
+                    if len(text) < MIN_ITEM:
+                        self.exact.append((name, text, exact_pattern(text.decode())))
+                    else:
+                        self.items.append((name, text))
+        self.tables = None
+        if self.items:
+            texts = [t for _, t in self.items]
+            classes = [_length_class(len(t)) for t in texts]
+            plans = {c: plan([t for t, k in zip(texts, classes) if k == c], max_percent) for c in sorted(set(classes))}
+            self.tables = Tables(texts, [plans[c][0] for c in classes])
+            self.need = np.array([plans[c][1] for c in classes], dtype=np.int64)
 
     def candidates(self, w):
-        """(document in ``w``, item, where the item should start) without repeats."""
-        data = np.concatenate([_FOLD[w.data], np.zeros(self.window + 1, dtype=np.uint8)])
+        """(folded text, (document in ``w``, item, where the item should start) without repeats)."""
+        data = _FOLD[w.data]
         full = np.flatnonzero(np.diff(w.first) > 0)
-        begin = w.starts[w.first[full]]
-        found = [np.stack([full[c[:, 0]], c[:, 1], c[:, 2]], axis=1)[c[:, 0] >= 0] for g in self.grams for c in g.candidates(_FOLD[w.data], begin)] if len(full) else []
-        maybe = np.empty(0, dtype=np.int64)
-        if len(self.gate):
-            gram = _bigrams(w.hashes, w.first)
-            maybe = np.flatnonzero(self.coarse[(gram >> U64(40)).astype(np.int64)])
-            place = np.searchsorted(self.gate, gram[maybe]).clip(max=len(self.gate) - 1)
-            maybe = maybe[self.gate[place] == gram[maybe]]
-        for lo in range(0, len(maybe), BATCH):
-            word = maybe[lo : lo + BATCH]
-            keys = lsh_keys(data, w.starts[word], self.window, self.plan)
-            for t in range(len(keys)):
-                a, z = np.searchsorted(self.keys[t], keys[t], "left"), np.searchsorted(self.keys[t], keys[t], "right")
-                hit = np.flatnonzero(z > a)
-                count = (z - a)[hit]
-                entry = self.order[t][np.arange(count.sum()) + np.repeat(a[hit] - (np.cumsum(count) - count), count)]
-                start = np.repeat(w.starts[word[hit]], count) - self.offset[entry]
-                doc = np.searchsorted(w.first, np.repeat(word[hit], count), side="right") - 1
-                found.append(np.stack([doc, self.owner[entry], start], axis=1))
+        found = []
+        if self.tables and len(full):
+            begin = w.starts[w.first[full]]
+            for lo in range(0, len(data), SLICE):
+                base = max(0, lo - 2 * self.tables.longest)
+                x, item, start = self.tables.hits(data[base : lo + SLICE])
+                if not len(x):
+                    continue
+                bins, which, votes = self.tables.votes(item, start)
+                enough = np.flatnonzero((votes >= self.need[bins >> 36])[which])
+                doc = np.searchsorted(begin, x[enough] + base, side="right") - 1
+                order = np.lexsort((which[enough], doc))
+                doc, own, start = doc[order], which[enough][order], start[enough][order] + base
+                if not len(doc):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(own) != 0)]))
+                middle = np.add.reduceat(start, first) // np.diff(np.append(first, len(start)))
+                kept = doc[first] >= 0
+                found.append(np.stack([full[doc[first][kept]], bins[own[first][kept]] >> 36, middle[kept]], axis=1))
         return data, np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
 
@@ -394,17 +377,17 @@ def _links(index, max_percent: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_percent: int = MAX_PERCENT, window: int = WINDOW) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_percent: int = MAX_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, item_chars) for each document that holds an item, once a pair."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     shape = "doc_id long, item_id long, distance long, item_chars long"
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     out = None
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
-        index = ItemIndex(sorted((r["item_id"], r["text"]) for r in own), window, max_percent)
+        index = ItemIndex(sorted((r["item_id"], r["text"]) for r in own), max_percent)
         if index.items or index.exact:
             part = rows.mapInArrow(_links(spark.sparkContext.broadcast(index), max_percent), shape)
             out = part if out is None else out.union(part)
