@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join: exact classes of documents whose shingle sets overlap by a set share.
 
 1. Each document's set of distinct 5-word shingles is hashed; documents with equal sets form one
-   class, stood for by the smallest id, so groups of copies cost one row each.
+   class, stood for by the smallest id.  Each task posts a set once, whatever its copies.
 2. A pair that reaches the share must have a common shingle among the first
    ``n - ceil(share * n) + 1`` of each set in any fixed order.  The order is by a fixed-size sketch
    of shingle frequency, rare first, so common lines and passages stay out of these prefixes.
@@ -44,6 +44,8 @@ MEMBER_SQL = f"pmod(xxhash64(doc), {1 << MEMBER_BITS}L) + 1"
 COLUMNS = 4096
 PARITY_BITS = (64, 4096)
 SPARSE_COLUMN = 8
+SEEN = 200_000
+SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -102,7 +104,7 @@ def _profile(width: int):
             for i, s in shingle_sets(batch.column("text"), width):
                 n[i] = len(s)
                 a[i] = np.add.reduce(mix(s)).view(np.int64)
-                mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D))
+                mixed = mix(s ^ SECOND)
                 b[i], bits[i] = np.add.reduce(mixed).view(np.int64), parity(mixed)
                 np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "s1", "s2", "bits", "slot", "counts"])
@@ -122,10 +124,27 @@ def _add_slots(table: pa.Table) -> pa.Table:
     return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+class Seen:
+    """Signatures met lately by a task: of a group of copies only one row in ``SEEN`` different ones goes on."""
+
+    def __init__(self) -> None:
+        self.known: set[tuple] = set()
+
+    def add(self, signature: tuple) -> bool:
+        """Whether the signature is new."""
+        if signature in self.known:
+            return False
+        if len(self.known) >= SEEN:
+            self.known.clear()
+        self.known.add(signature)
+        return True
+
+
 def _prefixes(width: int, percent: int, sketch, blocks: int):
     """Prefix entries by hash block: one row of packed arrays for each block and batch."""
 
     def run(batches):
+        seen = Seen()
         weight = np.frombuffer(sketch.value, dtype=np.int32)
         for batch in batches:
             ids = batch.column("doc_id")
@@ -137,6 +156,8 @@ def _prefixes(width: int, percent: int, sketch, blocks: int):
                     continue
                 n = len(s)
                 sizes[i], marks[i] = n, np.add.reduce(mix(s))
+                if not seen.add((n, int(marks[i]), int(np.add.reduce(mix(s ^ SECOND))))):
+                    continue
                 keep = n - -(-percent * n // 100) + 1
                 order = np.lexsort((s, weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
                 hashes.append(s[order])
@@ -319,7 +340,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     # A hub that is itself in an older hub's group hands its whole group over to the oldest of those.
     heir = per_doc.filter(F.array_contains("hubs", F.col("doc"))).select(F.col("doc").alias("old"), F.array_min("hubs").alias("hub"))
     member = per_doc.select("doc", F.explode("hubs").alias("old")).join(heir, "old").select("hub", "doc").distinct()
-    member = materialize(member, "groups")
+    known = profile.filter("n > 0 and doc_id is not null")
+    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    # whichever copy a task posted, the class's smallest id stands for it from here on
+    posted = member.join(known, F.col("doc") == F.col("doc_id")).select("hub", "n", "s1", "s2")
+    member = materialize(posted.join(classes, ["n", "s1", "s2"]).select("hub", F.col("rep").alias("doc")).distinct(), "groups")
     parts = member.groupBy("hub").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
     bitmaps = seen.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "bits")
     mine = member.join(parts, "hub").join(bitmaps, "doc").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
@@ -338,8 +363,6 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     packed = rows.select("doc_id", "text", _place("doc_id").alias("place")).mapInArrow(_pack(members), "doc_id long, packed binary")
     dealt = packed.join(tasks, packed["doc_id"] == tasks["doc"]).select("doc_id", F.explode("tasks").alias("t"), "packed").select("doc_id", "t.hub", "t.task", "t.p", "t.q", "packed")
     edges = dealt.groupBy("task", "p", "q").applyInArrow(_product(width, percent), "a long, b long")
-    known = profile.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     found = components(edges)
     # a repeated doc_id with several texts joins its classes
     twice = known.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).filter("x <> y").limit(1)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import Seen
 from .store import materialize, shuffle_partitions
 from .tokens import U64, _power_table, mix, words
 
@@ -139,15 +140,17 @@ def _profile(batches):
 
 def _entries(window: int, width: int, blocks: int):
     def run(batches):
+        seen = Seen()
         for batch in batches:
             ids, valid = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             s1, s2, n = (np.zeros(len(ids), np.int64) for _ in range(3))
             hashes, owners = [], []
             for i, h in _documents(batch.column("text")):
-                found = np.unique(anchors(h, window, width)[1]) if valid[i] else ()
+                s1[i], s2[i] = _signature(h)
+                n[i] = len(h)
+                # each task posts a word sequence once, whatever its copies
+                found = np.unique(anchors(h, window, width)[1]) if valid[i] and len(h) >= window and seen.add((len(h), s1[i], s2[i])) else ()
                 if len(found):
-                    s1[i], s2[i] = _signature(h)
-                    n[i] = len(h)
                     hashes.append(found)
                     owners.append(np.full(len(found), i, dtype=np.int32))
             if not hashes:
@@ -293,9 +296,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     total = profile.agg(F.sum("n")).first()[0] or 0
     blocks = max(shuffle_partitions(spark), total * 2 // (window - width + 2) // ENTRIES_PER_BLOCK)
     hits = rows.mapInArrow(_entries(window, width, blocks), "block int, heads binary, hashes binary, local binary").groupBy("block").applyInArrow(_families, f"{key}, anchor long, hub long")
-    # A document whose equal is smaller drops out here: its class is handled below.
-    hits = hits.groupBy(KEY).agg(F.collect_list(F.struct("anchor", "hub")).alias("hits"))
-    hits = hits.select(F.col("doc_id").alias("id"), F.col("n").alias("hn"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), "hits")
+    # Whichever copy a task posted, the class's smallest id stands for it; the others are handled below.
+    hits = hits.groupBy("n", "s1", "s2").agg(F.collect_set(F.struct("anchor", "hub")).alias("hits"))
+    first = profile.filter(f"n >= {window} and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"))
+    hits = hits.join(first, ["n", "s1", "s2"]).select(F.col("least").alias("id"), F.col("n").alias("hn"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), "hits")
     # Rows are told apart by their words where a doc_id repeats; _regions drops the wrong pairs.
     suspects = rows.join(hits, rows["doc_id"] == hits["id"]).select("doc_id", F.col("hn").alias("n"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), "text", "hits")
     suspects = materialize(suspects, "suspects")
@@ -311,7 +315,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     cuts = dealt.select("task", "p", "q", "hub", *KEY, "starts", "ends", "words").groupBy("task", "p", "q").applyInArrow(_match(window), f"{key}, cut array<struct<lo:long,hi:long>>")
     cuts = cuts.groupBy(KEY).agg(F.collect_list("cut").alias("cuts"))
     partial = suspects.select(*KEY, "text").dropDuplicates(KEY).join(cuts, KEY).mapInArrow(_remove, f"{key}, removed long, rest string")
-    first = profile.filter(f"n >= {window} and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"))
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("doc_id") > F.col("least")
     out = profile.join(first, ["n", "s1", "s2"], "left").join(partial, KEY, "left")
