@@ -147,7 +147,7 @@ def test_scores(spark, docs, odd):
         own = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[t] > 0 for t in own), total)
         assert math.isclose(r.base_score, sum(math.log10((count[t] + 0.5) / (total + 0.5 * (kinds + 1))) for t in own), rel_tol=1e-9)
-    several = {r.doc_id: r.score for r in lm_score.score(docs, pass_bytes=100).collect()}
+    several = {r.doc_id: r.score for r in lm_score.score(docs, broadcast_bytes=100).collect()}
     assert all(math.isclose(several[r.doc_id], r.score, rel_tol=1e-9) for r in got)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
     assert lm_score.score(odd).count() == odd.count() and lm_score.score(empty(spark)).count() == 0

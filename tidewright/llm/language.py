@@ -156,7 +156,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     shares = F.create_map(*(F.lit(x) for pair in sorted(share.items()) for x in pair))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang"))).mapInArrow(extract, "doc_id long, lang string, ids binary, counts binary")
     bound = math.ceil(2 * sum(rows_of.values()))
-    got = sorted(drawn.limit(bound).collect(), key=lambda r: (r["doc_id"], r["ids"]))
+    # the first by a hash of their features, so that repeated ids draw the same rows every time
+    got = drawn.withColumn("h", F.xxhash64("doc_id", "ids")).orderBy("h", "doc_id", "ids").limit(bound).collect()
     names = sorted({r["lang"] for r in got if len(r["ids"])})  # a language without samples is not learned
     samples = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32), names.index(r["lang"])) for r in got if len(r["ids"])]
     if not samples:
@@ -164,9 +165,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     return {"names": names} | train(samples, len(names))
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred, score and accepted (any columns of these names are replaced)."""
-    added = ["lang_pred", "score", "accepted"]
+def predict(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """``docs`` with the language predicted, its probability and whether it is accepted, in columns ``names`` (any of these names are replaced)."""
+    added = list(names)
     docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times languages
 
@@ -174,19 +175,19 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         for batch in batches:
             text = batch.column("text").cast(pa.string())
-            names = [None] * len(text)
+            found = [None] * len(text)
             score, accepted = np.zeros(len(text)), np.zeros(len(text), dtype=bool)
             letter = has_letter(text)
             if m["names"] and len(text):
                 p = _softmax(logits(text, m["weights"], m["bias"]) / m["temperature"])
                 best = p.argmax(axis=1)
                 score = np.where(letter, p.max(axis=1), 0.0)
-                names = [m["names"][k] for k in best]
+                found = [m["names"][k] for k in best]
                 accepted = letter & (score >= m["threshold"])
-            names = [n if ok and n else "und" for n, ok in zip(names, letter)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], [*batch.schema.names, *added])
+            found = [n if ok and n else "und" for n, ok in zip(found, letter)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score), pa.array(accepted)], [*batch.schema.names, *added])
 
-    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType())))])
     return docs.mapInArrow(run, shape)
 
 

@@ -7,12 +7,15 @@
 3. Bigram counts are summed over all training documents by hash block and quantised to levels of
    powers of two.  A bigram of level q is put into its block's segment of the filter q times, once
    for each level, so its level is found by probing for 1, 2, ... until one is missing.
-4. Segments are broadcast in passes of at most ``pass_bytes`` (one segment at least, whose size is
-   bounded by ``block_entries``); each pass scores the tokens whose bigram lies in its segments.
+4. A filter of at most ``broadcast_bytes`` is broadcast to the workers, who probe it for the bigrams of
+   their texts.  A larger one stays where it was built: each chunk sends its distinct bigrams to the
+   segments, by block, which are probed there and answer with the levels.  Either way the texts are
+   read once and the chunks a fixed number of times, and the scores are the same.
 
 p(w | v) = (f(v, w) + mu * p1(w)) / (c(v) + mu), with f the lower end of the bigram's level (so that
 the counts of one context don't exceed c(v), but for false positives), c(v) exact, and
-p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).  A document starts in the context of an end.
+p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).  A document starts in the context of an end.  As f is at most
+the true count, the probabilities of a context sum to at most 1: what quantising takes is not dealt out again.
 
 Nulls: a null text is empty and has one token, its end.  A null ``doc_id`` counts as training, its
 checksum being that of an empty string.  Rows that repeat a ``doc_id`` are scored each on its own.
@@ -35,9 +38,9 @@ from .tokens import U64, mix, words
 
 MU = 30.0
 PROBES, BITS_PER_ENTRY = 5, 10
-TEXT_CHUNK = 4 << 20
+TEXT_CHUNK = 1 << 20
 BLOCK_ENTRIES = 4_000_000
-PASS_BYTES = 128 << 20
+BROADCAST_BYTES = 128 << 20
 END = U64(0xE2D0E2D0E2D0E2D1)
 _LEFT, _RIGHT = U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)
 
@@ -187,44 +190,67 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "segment": pa.array([segment], pa.binary()), "bits": pa.array([bits], pa.int64())})
 
 
-def _score(segments, blocks: int, total: int, types: int, mu: float, base: bool):
+def _ask_levels(blocks: int):
+    """Distinct bigrams of each chunk, by the block of the filter that knows them."""
+
     def run(batches):
-        held = segments.value
         for batch in batches:
-            for row in batch.to_pylist():
-                first, code, distinct = _open(row["first"], np.int64), _open(row["code"], np.int32), _open(row["distinct"], np.uint64)
-                count = np.concatenate([_open(t, np.int64) for _, t in sorted((a["block"], a["totals"]) for a in row["answers"])])
+            for chunk, first, code, distinct in zip(*(batch.column(c) for c in ("chunk", "first", "code", "distinct"))):
+                first, code, distinct = _open(first.as_buffer(), np.int64), _open(code.as_buffer(), np.int32), _open(distinct.as_buffer(), np.uint64)
+                keys = np.unique(bigrams(distinct[code], first))
+                rows = [(chunk.as_py(), b, keys[lo:hi].astype(np.uint32).tobytes()) for b, lo, hi in _slices(keys, blocks)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary()])], ["chunk", "block", "keys"])
+
+    return run
+
+
+def _levels(asked: pa.Table, segments: pa.Table) -> pa.Table:
+    """Levels of all bigrams asked of one block; 0 where the block has no training bigram."""
+    out = []
+    held = (np.frombuffer(segments.column("segment")[0].as_buffer(), dtype=np.uint8), segments.column("bits")[0].as_py()) if segments.num_rows else None
+    for x in asked.column("keys"):
+        keys = np.frombuffer(x.as_buffer(), dtype=np.uint32)
+        out.append(_squeeze((probe_levels(*held, keys) if held else np.zeros(len(keys))).astype(np.int8)))
+    return pa.table({"chunk": asked.column("chunk"), "block": asked.column("block"), "levels": pa.array(out, pa.binary())})
+
+
+def _score(segments, blocks: int, total: int, types: int, mu: float):
+    """Scores of chunks, from broadcast segments or, without them, from the levels that came with each chunk."""
+
+    def run(batches):
+        held = segments.value if segments else None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = lambda c, i=i, batch=batch: batch.column(c)[i]
+                chunk, ids = cell("chunk").as_py(), cell("ids").as_py()
+                first, code, distinct = (_open(cell(c).as_buffer(), t) for c, t in (("first", np.int64), ("code", np.int32), ("distinct", np.uint64)))
+                count = np.concatenate([_open(t, np.int64) for _, t in sorted((a["block"], a["totals"]) for a in cell("answers").as_py())])
                 p1 = (count + 0.5) / (total + 0.5 * (types + 1))
                 keys, back = np.unique(bigrams(distinct[code], first), return_inverse=True)
-                level, mine = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-                for b, lo, hi in _slices(keys, blocks):
-                    if b in held:
-                        bits, segment = held[b]
-                        level[lo:hi] = probe_levels(np.frombuffer(segment, dtype=np.uint8), bits, keys[lo:hi].astype(np.uint32))
-                        mine[lo:hi] = True
-                    elif base and b not in held["all"]:
-                        mine[lo:hi] = True  # a block without any training bigram
-                level, mine = level[back], mine[back]
+                if held is None:
+                    level = np.concatenate([_open(t, np.int8) for _, t in sorted((a["block"], a["levels"]) for a in cell("levels").as_py())]).astype(np.int64)
+                else:
+                    level = np.zeros(len(keys), dtype=np.int64)
+                    for b, lo, hi in _slices(keys, blocks):
+                        if b in held:  # others have no training bigram
+                            bits, segment = held[b]
+                            level[lo:hi] = probe_levels(np.frombuffer(segment, dtype=np.uint8), bits, keys[lo:hi].astype(np.uint32))
+                level = level[back]
                 seen = np.where(level > 0, np.exp2(level - 1.0), 0.0)
                 context = np.empty(len(code), dtype=np.float64)
                 context[1:] = count[code[:-1]]
-                end = np.searchsorted(distinct, END)
-                context[:1] = count[end] if len(distinct) else 0
-                log_p = np.where(mine, np.log10((seen + mu * p1[code]) / (context + mu)), 0.0)
-                out = [np.add.reduceat(log_p, first[:-1])]
-                if base:
-                    out += [np.add.reduceat(np.log10(p1[code]), first[:-1]), np.add.reduceat((count[code] > 0).astype(np.int64), first[:-1])]
-                else:
-                    out += [np.zeros(len(row["ids"])), np.zeros(len(row["ids"]), np.int64)]
+                context[:1] = count[np.searchsorted(distinct, END)]
+                log_p = np.log10((seen + mu * p1[code]) / (context + mu))
+                known = np.add.reduceat((count[code] > 0).astype(np.int64), first[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]] * len(row["ids"]), pa.int64()), pa.array(np.arange(len(row["ids"]))), pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(first)), pa.array(out[2]), pa.array(out[1]), pa.array(out[0])],
-                    ["chunk", "place", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                    [pa.array(ids, pa.int64()), cell("held").values, pa.array(np.diff(first)), pa.array(known), pa.array(np.add.reduceat(np.log10(p1[code]), first[:-1])), pa.array(np.add.reduceat(log_p, first[:-1]))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     return run
 
 
-def score(docs: DataFrame, fold: int = 1, folds: int = 5, mu: float = MU, block_entries: int = BLOCK_ENTRIES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def score(docs: DataFrame, fold: int = 1, folds: int = 5, mu: float = MU, block_entries: int = BLOCK_ENTRIES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Scores of all texts of ``docs`` (doc_id, text, ...), learned from all but fold ``fold``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -236,31 +262,16 @@ def score(docs: DataFrame, fold: int = 1, folds: int = 5, mu: float = MU, block_
     total, types = (x or 0 for x in answers.filter("chunk = -1").agg(F.sum("tokens"), F.sum("types")).first())
     pairs = chunks.select("held", "first", "code", "distinct").mapInArrow(_pairs(blocks), "block int, keys binary, counts binary")
     segments = materialize(pairs.groupBy("block").applyInArrow(_count, "block int, segment binary, bits long"), "segments")
-    sizes = sorted((r["block"], r["bits"] // 8) for r in segments.select("block", "bits").collect())  # a row a block
-    passes: list[list[int]] = [[]]
-    room = pass_bytes
-    for block, need in sizes:
-        if need > room and passes[-1]:
-            passes.append([])
-            room = pass_bytes
-        passes[-1].append(block)
-        room -= need
     asked = answers.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("block", "totals")).alias("answers"))
-    ready = chunks.select("chunk", "ids", "held", "first", "code", "distinct").join(asked, "chunk")
-    if len(passes) > 1:
-        ready = materialize(ready, "ready")
-    shape = "chunk long, place long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    parts = None
-    for i, own in enumerate(passes):
-        table: dict = {r["block"]: (r["bits"], bytes(r["segment"])) for r in segments.filter(F.col("block").isin(own)).toLocalIterator()}
-        table["all"] = {b for b, _ in sizes}
-        one = ready.mapInArrow(_score(spark.sparkContext.broadcast(table), blocks, total, types, mu, i == 0), shape)
-        if len(passes) > 1:
-            one = materialize(one, "scores")
-        parts = one if parts is None else parts.union(one)
-    if len(passes) > 1:
-        parts = parts.groupBy("chunk", "place").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
-    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    ready, held = chunks.select("chunk", "ids", "held", "first", "code", "distinct").join(asked, "chunk"), None
+    if (segments.agg(F.sum("bits")).first()[0] or 0) <= 8 * broadcast_bytes:
+        held = spark.sparkContext.broadcast({r["block"]: (r["bits"], bytes(r["segment"])) for r in segments.collect()})  # at most broadcast_bytes
+    else:
+        wanted = chunks.select("chunk", "first", "code", "distinct").mapInArrow(_ask_levels(blocks), "chunk long, block int, keys binary")
+        found = materialize(wanted.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(_levels, "chunk long, block int, levels binary"), "levels")
+        ready = ready.join(found.groupBy("chunk").agg(F.collect_list(F.struct("block", "levels")).alias("levels")), "chunk")
+    scored = ready.mapInArrow(_score(held, blocks, total, types, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:

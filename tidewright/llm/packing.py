@@ -1,7 +1,7 @@
 """Packing of token streams into fixed windows by best-fit decreasing.
 
 A document's ids and one separator are cut into full windows and a rest.  Rests are dealt to groups
-of bounded size by hash; each group is packed longest first, a segment tree over remaining
+of bounded size by a hash of their place in the table of pieces; each group is packed longest first, a segment tree over remaining
 capacities giving the open window that fits most tightly.  Only ids' checksums travel, not the ids.
 
 Nulls: a null text is empty (one separator); a null ``doc_id`` is carried through.  Rows that repeat
@@ -111,7 +111,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: i
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = materialize(rows.mapInArrow(_cut(tokenizer, capacity, separator), shape), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # pieces are fixed in a table, so their places in it deal them evenly, however many rows are equal
+    place = F.monotonically_increasing_id() if groups > 1 else F.lit(0)
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(place), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(_pack(groups, capacity), f"{shape}, sequence_id long, offset long")
 
 
