@@ -34,10 +34,10 @@ from .tokens import U64, words
 
 MIN_ITEM = 24
 MAX_PERCENT = 25
-WALKS, SAMPLED = 2, 0.6
+WALKS, SAMPLED = 2, 0.8
 #: Key lengths to choose from, the votes a key length must leave, and the share of copies at the most edits that reach them.
-SAMPLES, VOTES, TARGET, TRIALS = (5, 8, 12, 16, 20), 6, 0.985, 300
-SLICE, PLACES = 1 << 20, 1 << 14
+SAMPLES, VOTES, TARGET, TRIALS = (5, 8, 11, 14, 17), 6, 0.985, 300
+SLICE, PLACES = 1 << 20, 1 << 15
 BLOCK_BYTES = 2 << 20
 LANES, MOST_BLOCKS, HELD_BYTES = 8192, 16, 1 << 24
 _FOLD = np.arange(256, dtype=np.uint8)
