@@ -480,3 +480,116 @@ def test_distances_of_many_pairs():
         texts.append(b"")
     got = decontaminate.distances(items, np.array(which), texts)
     assert got.tolist() == [decontaminate.best_distance(items[i], t)[0] for i, t in zip(which, texts)]
+
+
+def quotes_truth(rows):
+    """Links, parents and threads by going through every conversation message by message."""
+    def lines(text):
+        out = []
+        for raw in re.split("\r\n|\r|\n", text or ""):
+            m = re.match(r"(\s*>)+", raw)
+            mark = m.group(0) if m else ""
+            out.append((mark.count(">"), raw[len(mark):]))
+        return out
+
+    def normal(s):
+        return re.sub(r"\s+", " ", s.translate({c: c + 32 for c in range(65, 91)})).strip(" ")
+
+    def passages(parts):
+        out, now, level = [], [], None
+        for lv, plain in parts:
+            if now and (plain == "" or lv != level):
+                out.append((level, now))
+                now = []
+            if plain:
+                now, level = [*now, plain], lv
+        return out + ([(level, now)] if now else [])
+
+    parts = {(c, t): [(lv, normal(x)) for lv, x in lines(text)] for c, t, text in rows}
+    got = {}
+    for c, t, text in rows:
+        earlier = sorted(u for d, u, _ in rows if d == c and u < t)
+        known = {}
+        for u in earlier:
+            level0 = [x for lv, x in passages(parts[c, u]) if lv == 0]
+            texts = [" ".join(x) for x in level0] + [y for x in level0 for y in x] + [" ".join(x for lv, x in parts[c, u] if lv == 0 and x)]
+            known |= {x: u for x in texts}
+        n, chars = 0, {}
+        for lv, p in passages(parts[c, t]):
+            if lv:
+                units = [(" ".join(p), len(p))] if " ".join(p) in known else [(x, 1) for x in p if x in known]
+                for x, k in units:
+                    n += k
+                    if lv == 1:
+                        chars[known[x]] = chars.get(known[x], 0) + len(x)
+        got[c, t] = (max(chars, key=lambda u: (chars[u], u)) if chars else None, n)
+    out = {}
+    for c, t, text in rows:
+        top = t
+        while got[c, top][0] is not None:
+            top = got[c, top][0]
+        body = "\n".join(x for lv, x in lines(text) if lv == 0)
+        out[c, t] = (*got[c, t], top, sum(lv > 0 for lv, _ in lines(text)), body)
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(31)
+    say = ["Hi,", "thanks", "the plan is to meet on Monday", "and bring all papers", "so be it", "see the list  below", "OK"]
+    rows = []
+    for c in range(25):
+        texts = []
+        for t in range(rng.randint(1, 9)):
+            body = []
+            for _ in range(rng.randint(0, 2)):
+                if texts:
+                    old = rng.choice(texts).split("\n")
+                    a = rng.randrange(len(old))
+                    part = old[a : a + rng.randint(1, 4)]
+                    if rng.random() < 0.3:
+                        part = " ".join(part).split(" ")
+                        k = rng.randint(1, len(part))
+                        part = [" ".join(part[:k]), " ".join(part[k:])]
+                    body += [rng.choice(["> ", ">", " > "]) + (x.upper() if rng.random() < 0.2 else x) for x in part]
+            for _ in range(rng.randint(0, 4)):
+                body.append(rng.choice(["", *say]))
+            texts.append("\n".join(body))
+            rows.append((c, t, texts[-1]))
+    rows += [(100, 0, "say\tit > not\n"), (100, 1, "> say it > not\r\n>\r>> x"), (101, 0, "z" * 200_000), (101, 1, "> " + "z" * 200_000)]
+    want = quotes_truth(rows)
+    shape = "conv_id long, turn long, role string, text string, parent_turn string, level int, hash string"
+    table = spark.createDataFrame([(c, t, "u", x, "p", 1, "h") for c, t, x in rows], shape)
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked, r.thread_turn, r.n_quoted, r.body) for r in quotes.link_quotes(table).collect()}
+    assert got == want and sum(v[1] > 0 for v in want.values()) > 20
+    assert quotes.link_quotes(table.limit(0)).count() == 0
+
+
+def test_vector_components_against_brute_force(spark):
+    """Components and kept rows of linked vectors, ties and copies included."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 24))
+    v = np.concatenate([base[i % 40] + rng.normal(size=(1, 24)) * s for s in (0.0, 0.05, 0.25) for i in range(60)])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    label = np.arange(len(v))
+    while (new := np.where(near, label[None, :], len(v)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    got = {r.vec_id: (r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, x, 1, "c") for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, rep int, component string")).collect()}
+    assert got == {i: (int(c), bool(c == i)) for i, c in enumerate(label)}
+
+
+def test_edges_of_language_and_fixity(spark):
+    """Empty tables, repeated rows, clashing names, very long texts."""
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30, ("der die und nicht schön" if i % 2 else "the of with and thing").split()), "de" if i % 2 else "en", "s", "a") for i in range(120)]
+    rows += rows[:5] + [(500, "the " * 300_000, None, "s", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, accepted string")
+    model = language.fit(docs)
+    got = language.predict(docs, model).collect()
+    assert len(got) == len(rows) and [r.lang_pred for r in got if r.doc_id == 500] == ["en"]
+    assert language.fit(docs) is not model and np.allclose(language.fit(docs)["weights"], model["weights"])
+    assert language.predict(docs.limit(0), model).count() == 0
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (2_000_000 if i == 3 else i), "h", 5) for i in range(40)] + [(3, "u3", "again", "h", 5)] * 2, "page_id long, url string, html string, hash string, length int")
+    changed = pages.withColumn("html", pages.html.substr(1, 1_999_999))
+    assert [(r.page_id, r.status) for r in fixity.audit(pages, changed).collect()] == [(3, "changed")]
+    assert fixity.audit(pages, pages.dropDuplicates()).count() == 1
