@@ -562,6 +562,11 @@ def test_quotes_against_brute_force(spark):
     got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked, r.thread_turn, r.n_quoted, r.body) for r in quotes.link_quotes(table).collect()}
     assert got == want and sum(v[1] > 0 for v in want.values()) > 20
     assert quotes.link_quotes(table.limit(0)).count() == 0
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    conversations = table.select("conv_id", "turn", "role", "text").toPandas()  # noqa: F841 - read by the SQL
+    sql = {(r[0], r[1]): (r[3], r[6], r[4], r[5], r[7]) for r in db.execute(quotes.OP9_SQL).fetchall()}
+    assert sql == want
 
 
 def test_vector_components_against_brute_force(spark):

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL = {"op7_merkle_audit": fixity.OP7_SQL}
+ORACLE_SQL = {"op7_merkle_audit": fixity.OP7_SQL, "op9_quote_linking": quotes.OP9_SQL}

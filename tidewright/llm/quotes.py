@@ -106,3 +106,37 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 def op9_quote_linking(spark, sf_dir: str) -> DataFrame:
     return link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+_SPACE = r"[ \t\n\x0B\f\r]"
+OP9_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations),
+parts AS (SELECT *, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS p FROM m),
+lines AS (SELECT rid, conv_id, turn, text, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS raw FROM parts),
+marked AS (SELECT *, regexp_extract(raw, '^({_SPACE}*>)+') AS mark FROM lines),
+leveled AS (SELECT rid, conv_id, turn, text, i, len(mark) - len(replace(mark, '>', '')) AS level, substr(raw, len(mark) + 1) AS plain FROM marked),
+normal AS (SELECT *, trim(regexp_replace(translate(plain, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+', ' ', 'g'), ' ') AS norm FROM leveled WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+before AS (SELECT *, lag(norm) OVER w AS b, lag(level) OVER w AS bl FROM normal WINDOW w AS (PARTITION BY rid ORDER BY i)),
+placed AS (SELECT * FROM (SELECT *, sum(CASE WHEN norm <> '' AND (b IS NULL OR b = '' OR bl <> level) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS place FROM before) WHERE norm <> ''),
+passages AS (SELECT rid, conv_id, turn, place, level, string_agg(norm, ' ' ORDER BY i) AS h, count(*) AS n FROM placed GROUP BY ALL),
+sources AS (
+  SELECT conv_id, turn, h FROM passages WHERE level = 0 UNION SELECT conv_id, turn, norm FROM placed WHERE level = 0
+  UNION SELECT conv_id, turn, h FROM (SELECT rid, conv_id, turn, string_agg(norm, ' ' ORDER BY i) AS h FROM placed WHERE level = 0 GROUP BY ALL)
+),
+units AS (
+  SELECT rid, conv_id, turn, place, level, h, n, true AS whole FROM passages WHERE level > 0
+  UNION ALL SELECT l.rid, l.conv_id, l.turn, l.place, l.level, l.norm, 1, false FROM placed l JOIN passages p USING (rid, place) WHERE l.level > 0 AND p.n > 1
+),
+found AS (SELECT u.rid, u.conv_id, u.turn, u.place, u.level, u.h, u.n, u.whole, max(s.turn) AS source FROM (SELECT *, row_number() OVER () AS k FROM units) u JOIN sources s ON s.conv_id = u.conv_id AND s.h = u.h AND s.turn < u.turn GROUP BY ALL, u.k),
+best AS (SELECT *, bool_or(whole) OVER (PARTITION BY rid, place) AS any_whole FROM found),
+by_source AS (SELECT conv_id, turn, source, sum(n) AS n, sum(CASE WHEN level = 1 THEN len(h) END) AS chars FROM best WHERE whole = any_whole GROUP BY ALL),
+links AS (SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS n_linked, arg_max(source, struct_pack(a := chars, b := source)) FILTER (WHERE chars IS NOT NULL) AS parent_turn FROM by_source GROUP BY ALL),
+up AS (
+  SELECT conv_id, turn, parent_turn AS top FROM links WHERE parent_turn IS NOT NULL
+  UNION ALL SELECT up.conv_id, up.turn, l.parent_turn FROM up JOIN links l ON l.conv_id = up.conv_id AND l.turn = up.top WHERE l.parent_turn IS NOT NULL
+),
+tops AS (SELECT conv_id, turn, min(top) AS top FROM up GROUP BY ALL),
+bodies AS (SELECT rid, count(*) FILTER (WHERE level > 0) AS n_quoted, coalesce(string_agg(plain, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS body FROM leveled GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, l.parent_turn, coalesce(t.top, m.turn) AS thread_turn, b.n_quoted, coalesce(l.n_linked, 0) AS n_linked, b.body
+FROM m JOIN bodies b USING (rid) LEFT JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn LEFT JOIN tops t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
