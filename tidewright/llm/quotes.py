@@ -127,7 +127,7 @@ units AS (
   SELECT rid, conv_id, turn, place, level, h, n, true AS whole FROM passages WHERE level > 0
   UNION ALL SELECT l.rid, l.conv_id, l.turn, l.place, l.level, l.norm, 1, false FROM placed l JOIN passages p USING (rid, place) WHERE l.level > 0 AND p.n > 1
 ),
-found AS (SELECT u.rid, u.conv_id, u.turn, u.place, u.level, u.h, u.n, u.whole, max(s.turn) AS source FROM (SELECT *, row_number() OVER () AS k FROM units) u JOIN sources s ON s.conv_id = u.conv_id AND s.h = u.h AND s.turn < u.turn GROUP BY ALL, u.k),
+found AS (SELECT u.k, u.rid, u.conv_id, u.turn, u.place, u.level, u.h, u.n, u.whole, max(s.turn) AS source FROM (SELECT *, row_number() OVER () AS k FROM units) u JOIN sources s ON s.conv_id = u.conv_id AND s.h = u.h AND s.turn < u.turn GROUP BY ALL),
 best AS (SELECT *, bool_or(whole) OVER (PARTITION BY rid, place) AS any_whole FROM found),
 by_source AS (SELECT conv_id, turn, source, sum(n) AS n, sum(CASE WHEN level = 1 THEN len(h) END) AS chars FROM best WHERE whole = any_whole GROUP BY ALL),
 links AS (SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS n_linked, arg_max(source, struct_pack(a := chars, b := source)) FILTER (WHERE chars IS NOT NULL) AS parent_turn FROM by_source GROUP BY ALL),
