@@ -3,6 +3,7 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.functions import text, values
 from tidewright.functions.types import ContractError
@@ -187,3 +188,11 @@ def test_shapes_by_block(spark, monkeypatch):
     monkeypatch.setattr(wire, "FEW_SHAPES", 0)
     for block in (1, 4, 100):
         assert {r["seq"]: r["generation"] for r in wire.with_relations(decoded, block).collect()} == want
+
+
+def test_connection_url(spark):
+    rows = [("h", "a@b", "p/a:ss?#", "sales data"), (" ::1 ", "it's", "(x)!*~ +", None)]
+    frame = spark.createDataFrame(rows, "host string, user string, password string, db string")
+    c = frame.columns
+    url = values.connection_url(frame[c[0]], F.lit(5432), F.coalesce(frame[c[3]], F.lit("d")), frame[c[1]], frame[c[2]], F.lit("prefer"))
+    assert [r[0] for r in frame.select(url).collect()] == ["postgresql://a%40b:p%2Fa%3Ass%3F%23@h:5432/sales%20data?sslmode=prefer", "postgresql://it's:(x)!*~%20%2B@[::1]:5432/d?sslmode=prefer"]

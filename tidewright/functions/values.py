@@ -62,6 +62,22 @@ def middle_cut(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit("…"), F.right(text, F.lit(limit - 1 - head))))
 
 
+def percent_encoded(text: Column) -> Column:
+    """UTF-8 bytes as %XX, but for ASCII letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, ch in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(ch))
+    return out
+
+
+def connection_url(host: Column, port: Column, database: Column, user: Column, password: Column, tls_mode: Column) -> Column:
+    """A source's or target's address; an IPv6 host is put in brackets.  It holds the password, so it is never stored."""
+    host = F.trim(host)
+    shown = F.when(host.contains(":") & ~host.startswith("["), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    parts = [F.lit("postgresql://"), percent_encoded(user), F.lit(":"), percent_encoded(password), F.lit("@"), shown, F.lit(":"), port.cast("string"), F.lit("/"), percent_encoded(database), F.lit("?sslmode="), percent_encoded(tls_mode)]
+    return F.concat(*parts)
+
+
 def uuid7(now_ms: int | None = None) -> str:
     """A UUID that begins with the time in milliseconds."""
     stamp = int(time.time() * 1000) if now_ms is None else now_ms

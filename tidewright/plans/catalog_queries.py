@@ -307,6 +307,15 @@ def readable_values(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.readable_bytes(k * k * size * 64).alias("size"), V.readable_seconds(k * size * 3).alias("took"), V.middle_cut(F.col("p_name"), 9).alias("short"), V.label(F.lit("catching_up")).alias("phase"))
 
 
+@query("""SELECT p_partkey, 'postgresql://' || url_encode(p_name || '@é~') || ':' || url_encode('p/' || p_partkey || ':s s?#+&') || '@' || CASE p_partkey % 3 WHEN 0 THEN '[fe80::1]' WHEN 1 THEN '[::1]' ELSE 'db' || p_partkey END
+|| ':5432/' || url_encode('sales data') || '?sslmode=verify-full' AS url FROM part""")
+def connection_urls(spark, sf_dir):
+    k = F.col("p_partkey")
+    host = F.when(k % 3 == 0, " fe80::1 ").when(k % 3 == 1, "[::1]").otherwise(F.concat(F.lit("db"), k.cast("string")))
+    url = V.connection_url(host, F.lit(5432), F.lit("sales data"), F.concat("p_name", F.lit("@é~")), F.concat(F.lit("p/"), k.cast("string"), F.lit(":s s?#+&")), F.lit("verify-full"))
+    return table(spark, sf_dir, "part").select("p_partkey", url.alias("url"))
+
+
 @query("SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority || chr(9) || chr(10) || chr(92) END AS priority, o_orderkey % 2 = 0 AS flag, o_orderdate FROM orders")
 def copy_text_snapshot(spark, sf_dir):
     """A snapshot written and read in the COPY text format, with tabs, line ends, backslashes and nulls."""
