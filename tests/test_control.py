@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewright.functions import text, values
 from tidewright.functions.types import ContractError
 from tidewright.operators import ddl, log
-from tidewright.plans import control
+from tidewright.plans import catalog_queries, control
+from tidewright.plans.queries import ORACLE_SQL
 from tidewright.sources import catalog, copy_text, wire
 from tidewright.streaming.supervisor import Progress, RebuildNeeded, Reconciler, Telemetry, lease_deadline
 
@@ -196,3 +197,46 @@ def test_connection_url(spark):
     c = frame.columns
     url = values.connection_url(frame[c[0]], F.lit(5432), F.coalesce(frame[c[3]], F.lit("d")), frame[c[1]], frame[c[2]], F.lit("prefer"))
     assert [r[0] for r in frame.select(url).collect()] == ["postgresql://a%40b:p%2Fa%3Ass%3F%23@h:5432/sales%20data?sslmode=prefer", "postgresql://it's:(x)!*~%20%2B@[::1]:5432/d?sslmode=prefer"]
+
+
+def test_operations_in_tables(spark, tmp_path):
+    store = control.ControlStore(spark, f"file://{tmp_path}")
+    store.change(lambda c: (c.upsert("p", {}, 1, 1), c.upsert("q", {}, 1, 1)))
+    store.change(lambda c: c.request_rebuild("p"))  # generation 2, in the document
+    ops = lambda *rows: spark.createDataFrame([(i, p, k, g, s, 0.0) for i, p, k, g, s in rows], control.OPERATION)
+    store.add_operations(ops(("a", "p", "rebuild", 2, "requested"), ("b", "p", "rebuild", 4, "requested"), ("c", "q", "rebuild", 1, "requested"), ("d", "p", "other", 1, "requested"), ("e", "p", "rebuild", None, "requested"), ("f", "p", "rebuild", 1, "failed"), ("g", None, "rebuild", 1, "requested")))
+    with pytest.raises(ContractError, match="unknown pipeline 'r'"):
+        store.add_operations(ops(("x", "r", "rebuild", 1, "requested")))
+    assert len(list(tmp_path.glob("operations-*"))) == 1
+    assert [store.complete_rebuilds(n, g) for n, g in ((["p"], 3), (["p"], 3), (["p"], 1), ([], 9))] == [2, 0, 0, 0]
+    store.add_operations(ops(("h", "p", "rebuild", 2, "requested")))  # asked for after the completion: still open
+    state = lambda: {r["id"]: r["state"] for r in store.operations().collect() if len(r["id"]) == 1}
+    assert state() == {"a": "completed", "b": "requested", "c": "requested", "d": "requested", "e": "requested", "f": "failed", "g": "requested", "h": "requested"}
+    assert store.change(lambda c: c.complete_rebuilds("p", 4)) == 0
+    assert [state()[i] for i in "abch"] == ["completed", "completed", "requested", "completed"]
+    assert store.listing("operations").count() == 9 and len(store.read().operations) == 1
+
+
+def test_document_of_the_format_before(spark, tmp_path):
+    store = control.ControlStore(spark, f"file://{tmp_path}")
+    store.commits.publish(1, {"pipelines": {"p": {"definition": {}, "revision": 1, "generation": 1, "running": False}}, "format": 1, "version": 1})
+    assert store.change(lambda c: c.request_rebuild("p")) == 2 and store.complete_rebuilds(["p"], 2) == 1 and store.read().format == 2
+
+
+def test_rebuilds_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    sizes, publish = [], control.Commits.publish
+    monkeypatch.setattr(control.Commits, "publish", lambda self, version, document: (sizes.append(len(str(document))), publish(self, version, document))[1])
+    most = []
+    for n in (100, 5_000):
+        e = spark.range(-60, n).select(F.col("id").alias("event_id"), (F.col("id") % 41).alias("user_id"), F.when(F.col("id") % 3 != 0, "error").otherwise("view").alias("event_type"))
+        odd = spark.createDataFrame([(None, 3, "error"), (7, None, "error"), (4_000, None, "error"), (5, 4, None), (None, None, "error")], "event_id long, user_id long, event_type string")
+        e.union(odd).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        sizes.clear()
+        ours = sorted(map(str, catalog_queries.rebuild_operations(spark, f"{tmp_path}/{n}").select("pipeline", "generation", "open", "completed").collect()))
+        most.append(max(sizes))
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{n}/events.parquet/*.parquet'")
+        got = db.execute(ORACLE_SQL["rebuild_operations"]).fetchall()
+        assert ours == sorted(f"Row(pipeline={p}, generation={g}, open={o}, completed={c})" for p, g, o, c in got)
+    assert most[1] < most[0] + 1_000  # the document doesn't grow with the log

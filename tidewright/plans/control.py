@@ -6,7 +6,9 @@ import hashlib
 import json
 import time
 import tomllib
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ PHASES = {
 }
 # Defaults and hard caps of settings.
 LIMITS = {"max_rows": (10_000, 1_000_000), "max_bytes": (16 << 20, 1 << 30), "max_delay_ms": (250, 60_000), "max_changes": (1_000_000, 10_000_000), "retention_s": (10, 3_600), "quarantine_days": (30, 3_650), "gc_tables": (100, 1_000)}
+# Fixed value: columns of operations.
+OPERATION = "id string, pipeline string, kind string, generation long, state string, at double"
 
 
 @dataclass(frozen=True)
@@ -119,7 +123,8 @@ def backoff(attempt: int, initial: float = 1.0, most: float = 60.0) -> float:
 
 @dataclass
 class Control:
-    """Sources, targets, pipelines with their revisions, leases, operations and audit; one document, changed as a whole."""
+    """Sources, targets, pipelines with their revisions, leases, operations and audit; one document, changed as a whole.
+    Operations added in bulk lie in tables beside it; it holds the tables' names and up to where their rebuilds are done."""
 
     sources: dict = field(default_factory=dict)
     targets: dict = field(default_factory=dict)
@@ -127,8 +132,9 @@ class Control:
     revisions: list = field(default_factory=list)
     leases: dict = field(default_factory=dict)
     operations: list = field(default_factory=list)
+    operation_tables: list = field(default_factory=list)
     audit: list = field(default_factory=list)
-    format: int = 1
+    format: int = 2
 
     def _note(self, action: str, name: str, now: float) -> None:
         self.audit.append({"at": now, "action": action, "name": name})
@@ -163,10 +169,13 @@ class Control:
         return p["generation"]
 
     def complete_rebuilds(self, name: str, generation: int) -> int:
-        """Finish requested rebuilds up to ``generation``; operations whose generation is no number stay."""
+        """Finish requested rebuilds up to ``generation``; operations whose generation is no number stay.  Counts those of
+        the document; ``ControlStore.complete_rebuilds`` counts those of its tables too."""
         done = [o for o in self.operations if o["pipeline"] == name and o["kind"] == "rebuild" and o["state"] == "requested" and type(o["generation"]) is int and o["generation"] <= generation]
         for o in done:
             o["state"] = "completed"
+        for t in self.operation_tables:
+            t["completed"][name] = max(generation, t["completed"].get(name, generation))
         return len(done)
 
     def acquire(self, name: str, holder: str, ttl: float, now: float) -> int | None:
@@ -196,16 +205,18 @@ class Control:
 
 
 # Document changes by format: each takes the document of the format before it.
-MIGRATIONS = {1: lambda d: d}
+MIGRATIONS = {1: lambda d: d, 2: lambda d: d | {"operation_tables": []}}
 
 
 class ControlStore:
-    """A ``Control`` that outlives the process: every change is one compare-and-swap of its document."""
+    """A ``Control`` that outlives the process: every change is one compare-and-swap of its document.  Operations added in
+    bulk never pass the driver."""
 
     ATTEMPTS = 8
 
     def __init__(self, spark, root: str) -> None:
-        self.spark, self.commits = spark, Commits(spark, f"{root.rstrip('/')}/_control")
+        self.spark, self.root = spark, root.rstrip("/")
+        self.commits = Commits(spark, f"{self.root}/_control")
 
     def _load(self) -> tuple[int, Control]:
         found = self.commits.read()
@@ -233,13 +244,57 @@ class ControlStore:
                 continue
         raise ContractError("too many writers")
 
+    def add_operations(self, frame: DataFrame) -> None:
+        """Append operations (columns of ``OPERATION``) of known pipelines, seen as a whole once the document names their table."""
+        name = f"operations-{uuid7()}"
+        frame.select(*(F.col(c).cast(kind) for c, kind in map(str.split, OPERATION.split(", ")))).write.parquet(f"{self.root}/{name}")
+        added = self.spark.read.schema(OPERATION).parquet(f"{self.root}/{name}")
+
+        def act(c: Control) -> None:
+            known = self.spark.createDataFrame([(n,) for n in c.pipelines], "pipeline string")
+            if unknown := added.filter("pipeline is not null").join(F.broadcast(known), "pipeline", "left_anti").first():
+                raise ContractError(f"unknown pipeline {unknown['pipeline']!r}")
+            c.operation_tables.append({"name": name, "completed": {}})
+
+        try:
+            self.change(act)
+        except ContractError:
+            self.commits.fs.delete(self.commits.path(f"{self.root}/{name}"), True)
+            raise
+
+    def _stored(self, control: Control) -> DataFrame:
+        """The operations of the tables with their present state."""
+        tables = control.operation_tables
+        done = self.spark.createDataFrame([(i, n, g) for i, t in enumerate(tables) for n, g in t["completed"].items()], "place int, pipeline string, upto long")
+        parts = [self.spark.read.schema(OPERATION).parquet(f"{self.root}/{t['name']}").withColumn("place", F.lit(i)) for i, t in enumerate(tables)]
+        joined = reduce(DataFrame.unionByName, parts).join(F.broadcast(done), ["place", "pipeline"], "left")
+        finished = (F.col("kind") == "rebuild") & (F.col("state") == "requested") & (F.col("generation") <= F.col("upto"))
+        return joined.withColumn("state", F.when(finished, "completed").otherwise(F.col("state"))).select("id", "pipeline", "kind", "generation", "state", "at")
+
+    def operations(self) -> DataFrame:
+        """All operations, those of the document and those of its tables."""
+        control = self.read()
+        rows = [(o["id"], o["pipeline"], o["kind"], o["generation"], o["state"], float(o["at"])) for o in control.operations]
+        own = self.spark.createDataFrame(rows, OPERATION)
+        return own.unionByName(self._stored(control)) if control.operation_tables else own
+
+    def complete_rebuilds(self, names: Iterable[str], generation: int) -> int:
+        """Finish requested rebuilds of some pipelines up to ``generation``, in the document and its tables; how many there were."""
+        names = list(names)
+        chosen = self.spark.createDataFrame([(n,) for n in names], "pipeline string")
+
+        def act(c: Control) -> int:
+            due = (F.col("kind") == "rebuild") & (F.col("state") == "requested") & (F.col("generation") <= generation)
+            stored = self._stored(c).filter(due).join(F.broadcast(chosen), "pipeline", "left_semi").count() if c.operation_tables else 0
+            return stored + sum(c.complete_rebuilds(n, generation) for n in names)
+
+        return self.change(act)
+
     def listing(self, kind: str):
         """Sources, targets or pipelines by name, or operations, newest first and at most 200, as a DataFrame."""
-        control = self.read()
         if kind == "operations":
-            rows = [(o["id"], o["pipeline"], o["kind"], o["generation"], o["state"], float(o["at"])) for o in control.operations]
-            return self.spark.createDataFrame(rows, "id string, pipeline string, kind string, generation long, state string, at double").orderBy(F.desc("at"), "id").limit(200)
-        rows = [(name, json.dumps(v, sort_keys=True)) for name, v in getattr(control, kind).items()]
+            return self.operations().orderBy(F.desc("at"), "id").limit(200)
+        rows = [(name, json.dumps(v, sort_keys=True)) for name, v in getattr(self.read(), kind).items()]
         return self.spark.createDataFrame(rows, "name string, settings string").orderBy("name")
 
 
