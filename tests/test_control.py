@@ -240,3 +240,16 @@ def test_rebuilds_stay_off_the_driver(spark, tmp_path, monkeypatch):
         got = db.execute(ORACLE_SQL["rebuild_operations"]).fetchall()
         assert ours == sorted(f"Row(pipeline={p}, generation={g}, open={o}, completed={c})" for p, g, o, c in got)
     assert most[1] < most[0] + 1_000  # the document doesn't grow with the log
+
+
+def test_large_sizes(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, n, s) for k in (1, 4, 13, 18_547, 1_200_000, None) for s in (0, 1, 50, -3, None) for n in ("ab", "aébcdéfghij", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    ours = catalog_queries.readable_values(spark, str(tmp_path)).select("p_partkey", "size", "took", "short", "phase").collect()
+    assert sorted(repr(tuple(r)) for r in ours) == sorted(map(repr, db.execute(ORACLE_SQL["readable_values"]).fetchall()))
+    # the operator itself also knows TiB
+    one = spark.range(1).select(values.readable_bytes(F.lit(1_100_672_358_400)), values.readable_bytes(F.lit(1_100_672_358_400), ("KiB", "MiB", "GiB")))
+    assert tuple(one.first()) == ("1.0 TiB", "1025.0 GiB")

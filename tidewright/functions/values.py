@@ -33,11 +33,11 @@ def trimmed(text: Column, limit: int = 1024) -> Column:
     return F.substring(text, 1, limit)
 
 
-def readable_bytes(size: Column) -> Column:
-    """1.5 KiB, 3.0 MiB ..., rounded down; whole bytes below 1 KiB."""
+def readable_bytes(size: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """1.5 KiB, 3.0 MiB ..., rounded down; whole bytes below 1 KiB.  Larger sizes keep the last of ``units``."""
     size = size.cast("long")
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for i, unit in enumerate(units, 1):
         whole, tenth = F.shiftright(size, 10 * i), F.shiftright(size.bitwiseAND((1 << 10 * i) - 1) * 10, 10 * i)
         out = F.when(size >= 1 << 10 * i, F.concat(whole.cast("string"), F.lit("."), tenth.cast("string"), F.lit(" " + unit))).otherwise(out)
     return out
